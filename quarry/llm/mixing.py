@@ -55,8 +55,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = PAS
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, doc_id: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words taken, repeats counted) for each row of docs."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffled(F.coalesce(F.col(doc_id), F.lit(-1))).alias("r"))
+    """doc_id, source, rid (hash of the text), size, source_size, target, taken (words taken, repeats counted) for each row of docs."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffled(F.coalesce(F.col(doc_id), F.lit(-1))).alias("r"), F.xxhash64(F.col(text)).alias("rid"))
     rows = materialize(rows, "mix-rows")
     goals = targets(rows, weights, passes)
     goals = materialize(goals.withColumn("sid", F.xxhash64(F.coalesce(F.col("source"), F.lit("\0")), F.col("source").isNull())), "mix-goals")
@@ -68,12 +68,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
     run = Window.partitionBy("source").orderBy("b")
     starts = by_bucket.withColumn("start", F.sum("s").over(run) - F.col("s")).drop("s")
     starts = starts.join(goals, starts["source"].eqNullSafe(goals["source"])).select(starts["source"].alias("s2"), F.col("b").alias("b2"), "start", "source_size", "target")
-    within = Window.partitionBy("source", "b").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "b").orderBy("r", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
     cum = rows.withColumn("cum", F.sum("size").over(within))
     cum = cum.join(starts, cum["source"].eqNullSafe(starts["s2"]) & (cum["b"] == starts["b2"])).withColumn("cum", F.col("cum") + F.col("start"))
     # finish times of the passes; those up to 1 fit into the targets, so only later ones compete for what is left
     times = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda k: (k * F.col("source_size") + F.col("cum")).cast("double") / F.col("target"))
-    queued = materialize(cum.select("doc_id", "source", "size", "source_size", "target", "r", F.when((F.col("target") > 0) & (F.col("size") > 0), times).alias("f")), "mix-queue")
+    queued = materialize(cum.select("doc_id", "source", "rid", "size", "source_size", "target", "r", F.when((F.col("target") > 0) & (F.col("size") > 0), times).alias("f")), "mix-queue")
     sure = F.coalesce(F.size(F.filter("f", lambda x: x <= 1)), F.lit(0))
     sure = F.when(sure > 0, sure).otherwise(0)
     left = int(total or 0) - int(queued.agg(F.sum(sure * F.col("size"))).first()[0] or 0)
@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
         at = F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(("f", "r", "doc_id", "size"), limit, ("double", "long", dict(queued.dtypes)["doc_id"], "long"), strict=True)])
         extra = F.size(F.filter("f", lambda x: (x > 1) & (F.struct(x.alias("f"), F.col("r"), F.col("doc_id"), F.col("size")) <= at)))
     taken = F.when(F.col("f").isNull(), 0).otherwise(sure + extra) * F.col("size")
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return queued.select("doc_id", "source", "rid", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixture_table(docs: DataFrame) -> DataFrame:
@@ -106,10 +106,14 @@ def mixture_table(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, as often as it takes them, with the columns of docs."""
-    picks = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))).alias("__k"))
-    out = docs.join(picks, docs["doc_id"].eqNullSafe(picks["__id"]) & docs["source"].eqNullSafe(picks["__s"]))
-    return out.select(*[docs[c] for c in docs.columns])
+    """The rows of docs that the mix takes, as often as it takes them, with the columns of docs. Rows that are equal in id, source and text share out what the mix gives to them."""
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    picks = mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("rid").alias("__r")).agg(F.sort_array(F.collect_list(times)).alias("__k")).where(F.exists("__k", lambda k: k > 0))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.xxhash64("text").alias("__rid"))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__row.doc_id", "__row.source", "__rid").orderBy("__rid")))
+    out = rows.join(picks, F.col("__row.doc_id").eqNullSafe(F.col("__id")) & F.col("__row.source").eqNullSafe(F.col("__s")) & (F.col("__rid") == F.col("__r")))
+    times = F.get("__k", F.col("__n") - 1)
+    return out.where(times > 0).select("__row", F.explode(F.sequence(F.lit(1), times))).select("__row.*")
 
 
 _SIZED = """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, mixing, quality, secrets, token_counts, token_files, topk
+from quarry.llm import bpe, line_dedup, mixing, quality, secrets, simhash, token_counts, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +21,15 @@ QUERIES: dict[str, Query] = {
     "op3_bpe_round_trip": over("documents", bpe.round_trip_table),
     "op5_token_files": over("documents", token_files.token_file_table),
     "op6_token_counts": over("documents", token_counts.token_count_table),
+    "op7_simhash_near_dedup": over("documents", simhash.near_duplicates),
     "op8_source_mixing": over("documents", mixing.mixture_table),
     "op9_exact_top_k": over("embeddings", topk.top_k),
+    "op10_line_dedup": over("documents", line_dedup.line_table),
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op7_simhash_near_dedup": over("documents", simhash.near_duplicates),
     "op8_source_mixing": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
 }
