@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, line_dedup, mixing, quality, secrets, simhash, token_counts, token_files, topk
+from quarry.llm import bpe, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, token_counts, token_files, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op1_quality_rules": over("documents", quality.quality_table),
     "op2_secret_scan": over("documents", secrets.secret_table),
     "op3_bpe_round_trip": over("documents", bpe.round_trip_table),
+    "op4_suffix_dedup": over("documents", suffix_dedup.suffix_table),
     "op5_token_files": over("documents", token_files.token_file_table),
     "op6_token_counts": over("documents", token_counts.token_count_table),
     "op7_simhash_near_dedup": over("documents", simhash.near_duplicates),
