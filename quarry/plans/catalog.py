@@ -322,7 +322,7 @@ def confidence_bands(t):
 
 
 @query("""WITH r AS (SELECT n_regionkey AS file, n_nationkey AS rank, n_nationkey % 5 * 10 AS "start", n_nationkey % 5 * 10 + 5 + n_nationkey % 7 * 4 AS "end" FROM nation)
-SELECT a.file, a.rank, a."start", a."end", greatest(a.rank::DOUBLE, coalesce(max(b.rank) + 0.5e0, -1)) AS position FROM r a LEFT JOIN r b ON a.file = b.file AND a."start" <= b."start" AND b."end" <= a."end" AND (a."start" <> b."start" OR a."end" <> b."end") GROUP BY a.file, a.rank, a."start", a."end"""")
+SELECT a.file, a.rank, a."start", a."end", greatest(a.rank::DOUBLE, coalesce(max(b.rank) + 0.5e0, -1)) AS position FROM r a LEFT JOIN r b ON a.file = b.file AND a."start" <= b."start" AND b."end" <= a."end" AND (a."start" <> b."start" OR a."end" <> b."end") GROUP BY a."end", a."start", a.rank, a.file""")
 def containment_order(t):
     k = F.col("n_nationkey")
     return tables.container_order(t("nation").select(F.col("n_regionkey").alias("file"), k.alias("rank"), (k % 5 * 10).alias("start"), (k % 5 * 10 + 5 + k % 7 * 4).alias("end")))
