@@ -125,6 +125,11 @@ def _parity(c: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.get(c, i), F.get(c, i + 1)), F.lit(64)).cast("int"))))
 
 
+def _chars(line: Column) -> Column:
+    """Code points; split('') would part surrogate pairs."""
+    return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
+
+
 def near_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1, h2 of the lines that stand later than another line within the allowed edits.
 
@@ -143,15 +148,21 @@ def near_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
     shared = keys.where("low <> high AND NOT all_probe").groupBy(F.col("h").alias("h1")).agg(F.collect_list(F.struct("key", "probes")).alias("keys"))
     of = _at(d, firsts.join(shared, "h1"), "inner", "keys").select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
     of = of.select("doc_id", "rid", F.explode(F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), p["keys"].alias("keys"), F.get("ls", p["pos"]).alias("line")))).alias("x"))
-    of = of.select(F.struct(F.struct("doc_id", "rid", "x.pos").alias("o"), *_ids(F.col("x.line"))).alias("at"), F.regexp_extract_all(F.col("x.line"), F.lit("(?s)."), F.lit(0)).alias("c"), "x.keys")
-    of = of.withColumn("parity", F.coalesce(_parity(F.col("c")), F.lit(0).cast("long")))  # never null: else the join infers a filter that computes it again, per element
+    of = of.select(F.struct(F.struct("doc_id", "rid", "x.pos").alias("o"), *_ids(F.col("x.line"))).alias("at"), F.col("x.line").alias("line"), "x.keys", _chars(F.col("x.line")).alias("c"))
+    # never null: else the join below infers a filter that computes it again, per element
+    of = of.select("at", "line", "keys", F.coalesce(_parity(F.col("c")), F.lit(0).cast("long")).alias("parity"))
+    # dealt out here, so that what stands above is computed once for its four readers
     of = of.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at")
-    each = of.select("at", "c", "parity", F.explode("keys").alias("k"))
-    x = each.where("NOT k.probes").select("k.key", F.col("at").alias("x"), F.col("c").alias("ca"), F.col("parity").alias("pa"))
-    y = each.where("k.probes").select("k.key", F.col("at").alias("y"), F.col("c").alias("cb"), F.col("parity").alias("pb"))
+    each = of.select("at", "parity", F.explode("keys").alias("k"))
+    x = each.where("NOT k.probes").select("k.key", F.col("at").alias("x"), F.col("parity").alias("pa"))
+    y = each.where("k.probes").select("k.key", F.col("at").alias("y"), F.col("parity").alias("pb"))
     like = (x["key"] == y["key"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * MOST)
-    met = x.join(y, like).dropDuplicates(["x", "y"])  # a pair meets under several keys; this also keeps the check out of the join
-    pairs = met.where(within(F.col("ca"), F.col("cb"), allowed(F.least(F.size("ca"), F.size("cb")))))
+    met = x.join(y, like).select("x", "y").distinct()  # a pair meets under several keys
+    texts = of.select("at", "line")
+    met = met.join(texts.select(F.col("at").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("at").alias("y"), F.col("line").alias("ly")), "y")
+    # a column that differs from run to run keeps the check out of the join, and the characters out of the check's lambdas
+    met = met.select("x", "y", _chars(F.col("lx")).alias("ca"), _chars(F.col("ly")).alias("cb"), F.monotonically_increasing_id().alias("fence"))
+    pairs = met.where(within(F.col("ca"), F.col("cb"), allowed(F.least(F.size("ca"), F.size("cb")))) & (F.col("fence") >= 0))
     return pairs.select(F.greatest("x", "y").alias("z")).select("z.h1", "z.h2").distinct()
 
 
