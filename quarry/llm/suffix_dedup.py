@@ -3,6 +3,7 @@
 A byte goes if a string of WINDOW bytes that covers it also starts in a document with a smaller id. Every window of 50 bytes
 has an anchor, the K-gram of least hash in it (a minimizer), and equal windows have equal anchors at equal places. So
 
+ 0. a document equal to one with a smaller id (by a hash of 128 bits) goes whole, and takes no further part;
  1. documents send the hashes of their anchors, each once a batch, to buckets by hash; hashes that two documents have go back;
  2. for those anchors alone, documents send the bytes around them (all windows that hold the anchor) to buckets;
  3. in a bucket equal surroundings are one class; where an anchor has several classes, the suffixes that start at each of
@@ -35,8 +36,10 @@ SIDE = WINDOW - K
 SPAN = WINDOW + SIDE
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Anchors that a task holds before it sends them.
-HELD = 1_500_000
+#: Anchors that a task holds before it sends them, and entries of a bucket that are sorted together.
+HELD, PIECE = 1_500_000, 40_000
+#: In place of an anchor's hash (48 bits): the document is a copy of one with a smaller id.
+COPY = 2**64 - 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -251,6 +254,20 @@ def covered(key, context, low, high, doc, pos):
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def joined(rid, a, b):
+    """Stretches with those that touch or overlap in one document made one: windows a byte apart are one stretch."""
+    order = np.lexsort((a, rid))
+    rid, a, b = rid[order], a[order], b[order]
+    if not len(rid):
+        return rid, a, b
+    # ends so far within a document; documents are told apart by a stride over all ends
+    own = np.cumsum(np.concatenate([[False], rid[1:] != rid[:-1]])) * (int(b.max()) + 1)
+    reach = np.maximum.accumulate(b + own)
+    new = np.concatenate([[True], (a + own)[1:] > reach[:-1]])
+    last = np.concatenate([np.nonzero(new)[0][1:] - 1, [len(a) - 1]])
+    return rid[new], a[new], (reach - own)[last]
+
+
 def _texts(table: pa.Table):
     """(doc_id, rid, bytes) of each row."""
     texts = table.column("text")
@@ -271,7 +288,7 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packs = 4 * n
+    packs = 2 * n
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("rid", F.xxhash64("doc_id", "unnamed", "text")).withColumn("part", F.pmod("rid", F.lit(packs).cast("long")))
 
@@ -287,9 +304,9 @@ def removals(docs: DataFrame) -> DataFrame:
             run = np.cumsum(head) - 1
             shared = np.bincount(run)[run] > 1
             for part, at in by_key(rid[row[shared]] % packs):
-                yield part % n, part, squeeze(rid[row[shared]][at], h[shared][at])
+                yield part, part, squeeze(rid[row[shared]][at], h[shared][at])
             h, row = h[head], row[head]
-            for bucket, at in by_key((h % np.uint64(n)).astype(np.int64)):
+            for bucket, at in by_key((h % np.uint64(packs)).astype(np.int64)):
                 names, short = np.unique(row[at], return_inverse=True)
                 yield bucket, -1, squeeze(rid[names], short.astype(np.uint32), np.diff(h[at], prepend=np.uint64(0)))
 
@@ -343,11 +360,14 @@ def removals(docs: DataFrame) -> DataFrame:
         for r, at in by_key(rid):
             wanted[r] = np.unique(h[at])
         columns: list[list] = [[] for _ in range(7)]
-        done = set()
+        done, copies = set(), []
         for doc, r, data in _texts(left):
             if (w := wanted.get(r)) is None or r in done:
                 continue
             done.add(r)
+            if len(w) and w[-1] == COPY:
+                copies.append((r, len(data)))
+                continue
             at, h = anchors(data)
             keep = np.isin(h, w)
             at, h = at[keep], h[keep]
@@ -356,15 +376,16 @@ def removals(docs: DataFrame) -> DataFrame:
             context = wide[at[:, None] + np.arange(SPAN)]
             for c, x in zip(columns, (h, context, low, high, np.full(len(at), doc, np.int64), np.full(len(at), r, np.int64), at), strict=True):
                 c.append(x)
-        if not done:
-            return _table([], _SENT)
+        rows = [(part, part, squeeze(np.array([r for r, _ in copies], np.int64), np.zeros(len(copies), np.int64), np.array([m for _, m in copies], np.int64)))] if (copies := [c for c in copies if c[1] >= WINDOW]) else []
+        if not columns[0]:
+            return _table(rows, _SENT)
         h, context, low, high, doc, rid, at = (np.concatenate(c) for c in columns)
         c = classes(h, context, low, high)
         late = doc > least(c, doc)[c]
         whole = late & (low + high >= WINDOW)
-        out = [(part % n, part, squeeze(rid[whole], at[whole] - low[whole], at[whole] + high[whole]))] if whole.any() else []
+        out = rows + ([(part, part, squeeze(rid[whole], at[whole] - low[whole], at[whole] + high[whole]))] if whole.any() else [])
         first = np.nonzero(~late & (low + high >= WINDOW))[0]
-        for bucket, k in by_key((h[first] % np.uint64(n)).astype(np.int64)):
+        for bucket, k in by_key((h[first] % np.uint64(packs)).astype(np.int64)):
             k = first[k]
             out.append((bucket, -1, squeeze(h[k], np.ascontiguousarray(context[k]).reshape(-1), low[k].astype(np.uint8), high[k].astype(np.uint8), doc[k], rid[k], at[k])))
         return _table(out, _SENT)
@@ -375,8 +396,16 @@ def removals(docs: DataFrame) -> DataFrame:
             out.append((part, message.as_py())) if part >= 0 else messages.append(message.as_py())
         if messages:
             h, context, low, high, doc, rid, at = gathered(messages, 7)
-            e, a, b = covered(h, context.reshape(-1, SPAN), low.astype(np.int64), high.astype(np.int64), doc, at)
-            out += [(part, squeeze(rid[e][k], a[k], b[k])) for part, k in by_key(rid[e] % packs)]
+            context = context.reshape(-1, SPAN)
+            order = np.argsort(h, kind="stable")
+            ends = np.concatenate([np.nonzero(np.diff(h[order]))[0] + 1, [len(h)]])  # of anchors, which stay whole
+            done = 0
+            while done < len(h):
+                stop = int(ends[min(np.searchsorted(ends, done + PIECE), len(ends) - 1)])
+                k, done = order[done:stop], stop
+                e, a, b = covered(h[k], context[k], low[k].astype(np.int64), high[k].astype(np.int64), doc[k], at[k])
+                gone = joined(rid[k][e], a, b)
+                out += [(part, squeeze(*(x[i] for x in gone))) for part, i in by_key(gone[0] % packs)]
         return _table(out, _BACK)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -399,7 +428,17 @@ def removals(docs: DataFrame) -> DataFrame:
         return _table(out, result)
 
     sent = "bucket long, part long, data binary"
-    calls = d.select("doc_id", "rid", "text").mapInArrow(announce, sent).groupBy("bucket").applyInArrow(repeated, MESSAGE)
+    digest = d.select("doc_id", "rid", "part", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    again = digest.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("t1", "t2", "first")
+    copies = digest.join(again, ["t1", "t2"]).where("doc_id > first").select("part", "rid")
+
+    def flagged(batches):
+        for batch in batches:
+            part, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = [(p, squeeze(rid[k], np.full(len(k), COPY, np.uint64))) for p, k in by_key(part)] if len(part) else []
+            yield from _table(rows, _BACK).to_batches()
+
+    calls = d.select("doc_id", "rid", "text").mapInArrow(announce, sent).groupBy("bucket").applyInArrow(repeated, MESSAGE).unionByName(copies.mapInArrow(flagged, MESSAGE))
     packed = d.select("doc_id", "unnamed", "text", "rid", "part")
     around = packed.groupBy("part").cogroup(calls.groupBy("part")).applyInArrow(surroundings, sent)
     gone = around.groupBy("bucket").applyInArrow(settle, MESSAGE)
