@@ -30,7 +30,6 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
-    "op7_simhash_near_dedup": over("documents", simhash.near_duplicates),
     "op8_source_mixing": mixing.ORACLE,
     "op9_exact_top_k": topk.ORACLE,
 }

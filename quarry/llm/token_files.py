@@ -1,14 +1,14 @@
 """Token ids in files: fixed-width bit packing in blocks.
 
-A block holds whole documents, about BLOCK ids: the header (magic, bits an id, number of documents, number of ids), the
-doc_ids, the end of each document in ids, then all ids in `bits` bits each, where bits is the least number that holds the
+A block holds whole documents, about BLOCK ids: the header (magic, bits an id, number of documents, how many of them, the
+first ones, have no doc_id, number of ids), the doc_ids, the end of each document in ids, then all ids in `bits` bits each, where bits is the least number that holds the
 vocabulary. A document's ids start at bit `bits * previous end`, so any document is read alone, and numpy unpacks any run of
 ids at once. Blocks are rows of a Parquet table (file, block, start, n_ids, data): Spark's writers put it wherever the cluster
 keeps its files and commit each file once, whatever executors are lost. `file` numbers ranges of ascending doc_id, `block`
 counts within it, `start` is the number of ids before the block in its file.
 
-Null and empty texts: the end id alone. Repeated ids: a document each, next to each other, in order of their text. No rows: an
-empty table.
+Null and empty texts: the end id alone. Null ids: before all others. Repeated ids: a document each, next to each other, in
+order of a hash of their text. No rows: an empty table.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from quarry.llm.common import materialize
 from quarry.llm.vocab import BYTE_BPE, place
 
 BLOCK = 1 << 16
-HEADER = struct.Struct("<4sIQQ")
-MAGIC = b"QTB1"
+HEADER = struct.Struct("<4sIQQQ")
+MAGIC = b"QTB2"
 END = 0
 TABLE = "file int, block long, start long, n_ids long, data binary"
 
@@ -57,18 +57,20 @@ def unpack(data: bytes | memoryview, bits: int, first: int, n: int) -> np.ndarra
     return np.packbits(wide, axis=1).view(">u4").reshape(n).astype("<u4")
 
 
-def write_block(doc_ids: list[int], parts: list[np.ndarray], bits: int) -> bytes:
+def write_block(doc_ids: list[int | None], parts: list[np.ndarray], bits: int) -> bytes:
     ends = np.cumsum([len(p) for p in parts]).astype("<u8")
     ids = np.concatenate(parts)
-    return HEADER.pack(MAGIC, bits, len(parts), len(ids)) + np.array(doc_ids, "<i8").tobytes() + ends.tobytes() + pack(ids, bits)
+    nameless = sum(k is None for k in doc_ids)
+    doc_ids = [0] * nameless + doc_ids[nameless:]
+    return HEADER.pack(MAGIC, bits, len(parts), nameless, len(ids)) + np.array(doc_ids, "<i8").tobytes() + ends.tobytes() + pack(ids, bits)
 
 
 def open_block(data: bytes):
-    """doc_ids, ends, and a function from the place of a document in the block to its ids."""
-    magic, bits, docs, _ = HEADER.unpack_from(data)
+    """doc_ids (None where there is none), ends, and a function from the place of a document in the block to its ids."""
+    magic, bits, docs, nameless, _ = HEADER.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token block")
-    doc_ids = np.frombuffer(data, "<i8", docs, HEADER.size)
+    doc_ids = [None] * nameless + np.frombuffer(data, "<i8", docs, HEADER.size)[nameless:].tolist()
     ends = np.frombuffer(data, "<u8", docs, HEADER.size + 8 * docs).astype(np.int64)
     body = memoryview(data)[HEADER.size + 16 * docs :]
 
@@ -103,7 +105,7 @@ def write(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
+    rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("file", F.spark_partition_id())
     out = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
@@ -142,7 +144,7 @@ def read(blocks: DataFrame) -> DataFrame:
                     doc_ids, ends, ids_of = open_block(batch.column(2)[i].as_py())
                     for j in range(len(ends)):
                         ids = ids_of(j)
-                        yield int(doc_ids[j]), file, start + int(ends[j]) - len(ids), len(ids), zlib.crc32(ids.tobytes())
+                        yield doc_ids[j], file, start + int(ends[j]) - len(ids), len(ids), zlib.crc32(ids.tobytes())
 
         yield from batched(rows(), out, 10_000)
 
