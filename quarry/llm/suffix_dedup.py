@@ -197,11 +197,31 @@ class Suffixes:
         return out
 
 
-def classes(key: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Number of the class of equal (anchor, surroundings) of each entry, ascending by anchor."""
-    rows = np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), low[:, None].astype(np.uint8), high[:, None].astype(np.uint8), context], 1)
-    rows = np.ascontiguousarray(rows).view([("", f"V{rows.shape[1]}")]).reshape(-1)
-    return np.unique(rows, return_inverse=True)[1].reshape(-1)
+def classes(key: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the class of equal (anchor, surroundings) of each entry, ascending by anchor, and an entry of each class.
+
+    Rows are sorted by anchor and a hash of the surroundings, and neighbours of equal hash are compared byte by byte; should
+    two of them differ, the rows themselves are sorted.
+    """
+    n = len(key)
+    rows = np.zeros((n, -(-(context.shape[1] + 2) // 8) * 8), np.uint8)
+    rows[:, 0], rows[:, 1], rows[:, 2 : 2 + context.shape[1]] = low, high, context
+    wide = rows.view(np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(wide.shape[1]):
+        x = (wide[:, j] ^ (wide[:, j] >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        h = (h ^ x ^ (x >> np.uint64(28))) * np.uint64(BASE)
+    order = np.lexsort((h, key))
+    k, h = key[order], h[order]
+    new = np.concatenate([np.ones(min(n, 1), bool), (k[1:] != k[:-1]) | (h[1:] != h[:-1])])
+    again = np.nonzero(~new)[0]
+    if (wide[order[again]] != wide[order[again - 1]]).any():
+        rows = np.ascontiguousarray(np.concatenate([key.astype(">u8").view(np.uint8).reshape(-1, 8), rows], 1))
+        _, one, c = np.unique(rows.view(f"V{rows.shape[1]}").reshape(-1), return_index=True, return_inverse=True)
+        return c.reshape(-1), one
+    c = np.empty(n, np.int64)
+    c[order] = np.cumsum(new) - 1
+    return c, order[new]
 
 
 def least(group: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -216,12 +236,11 @@ def covered(key, context, low, high, doc, pos):
 
     context: SPAN bytes of each entry, of which [SIDE - low, SIDE + high) belong to the document; pos: place of the anchor.
     """
-    c = classes(key, context, low, high)
+    c, one = classes(key, context, low, high)
     first = least(c, doc)
     late = np.nonzero((doc > first[c]) & (low + high >= WINDOW))[0]
     found = [(late, pos[late] - low[late], pos[late] + high[late])]
     # one entry for each class; anchors with two classes or more
-    _, one = np.unique(c, return_index=True)
     k = key[one]
     many = np.nonzero(np.concatenate([[False], k[1:] == k[:-1]]) | np.concatenate([k[1:] == k[:-1], [False]]))[0]
     if len(many):
@@ -233,15 +252,22 @@ def covered(key, context, low, high, doc, pos):
             offset.append(np.full(len(ok), o))
         at, kind, offset = (np.concatenate(x) for x in (at, kind, offset))
         # segments: same anchor and same offset
-        segment = np.unique(np.stack([k[kind].astype(np.int64), offset], 1), axis=0, return_inverse=True)[1].reshape(-1)
-        order = np.argsort(segment, kind="stable")
-        at, kind, offset, segment = at[order], kind[order], offset[order], segment[order]
+        anchor = np.cumsum(np.concatenate([[False], k[1:] != k[:-1]]))
+        segment = anchor[kind] * (SIDE + 1) + offset
+        s = Suffixes(context[one].reshape(-1))
+        # a window whose hash no other in its segment has repeats nothing; the others are sorted
+        h = s.hash(at, np.full(len(at), WINDOW))
+        order = np.lexsort((h, segment))
+        same = (segment[order][1:] == segment[order][:-1]) & (h[order][1:] == h[order][:-1])
+        order = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+        order = order[np.argsort(segment[order], kind="stable")]
+        at, kind, offset = at[order], kind[order], offset[order]
+        segment = np.unique(segment[order], return_inverse=True)[1].reshape(-1)
         n = np.bincount(segment)
         start, size = (np.cumsum(n) - n)[segment], n[segment]
-        s = Suffixes(context[one].reshape(-1))
         order = s.sort(at, start, size)
         at, kind, offset = at[order], kind[order], offset[order]
-        run = np.concatenate([[0], np.cumsum((segment[1:] != segment[:-1]) | ~s.same(at[:-1], at[1:]))])
+        run = np.cumsum(np.concatenate([np.zeros(min(len(at), 1), bool), (segment[1:] != segment[:-1]) | ~s.same(at[:-1], at[1:])]))
         hit = first[kind] > least(run, first[kind])[run]
         if hit.any():  # the windows of a class that an earlier document has, for the entries of its first document
             entries = np.nonzero(doc == first[c])[0]
@@ -380,7 +406,7 @@ def removals(docs: DataFrame) -> DataFrame:
         if not columns[0]:
             return _table(rows, _SENT)
         h, context, low, high, doc, rid, at = (np.concatenate(c) for c in columns)
-        c = classes(h, context, low, high)
+        c, _ = classes(h, context, low, high)
         late = doc > least(c, doc)[c]
         whole = late & (low + high >= WINDOW)
         out = rows + ([(part, part, squeeze(rid[whole], at[whole] - low[whole], at[whole] + high[whole]))] if whole.any() else [])
