@@ -173,11 +173,10 @@ def _nodes(t):
     return t("part").select(F.col("p_partkey").alias("node"))
 
 
-@query("WITH d AS (SELECT p_partkey AS node, split_part(p_name, ' ', 1) AS name FROM part), c AS (SELECT p_partkey AS src, split_part(p_name, ' ', 2) AS name FROM part) SELECT DISTINCT src, d.node AS dst FROM c JOIN d USING (name) WHERE src <> d.node")
+@query("WITH d AS (SELECT p_partkey AS node, concat_ws(' ', p_name, p_brand) AS name FROM part) SELECT DISTINCT c.node AS src, d.node AS dst FROM d c JOIN d USING (name) WHERE c.node % 3 <> 0 AND c.node <> d.node")
 def call_edges(t):
-    p = t("part")
-    calls = p.select(F.col("p_partkey").alias("src"), F.coalesce(F.get(F.split("p_name", " "), F.lit(1)), F.lit("")).alias("name"))
-    return graph.resolve_calls(calls, p.select(F.col("p_partkey").alias("node"), F.get(F.split("p_name", " "), F.lit(0)).alias("name")))
+    named = t("part").select(F.col("p_partkey").alias("node"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return graph.resolve_calls(named.where("node % 3 <> 0").withColumnRenamed("node", "src"), named)
 
 
 @query(f"WITH {_EDGES} SELECT DISTINCT n AS node FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0)")
