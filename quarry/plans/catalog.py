@@ -160,13 +160,13 @@ def citation_count(t):
 
 # --- call graph -------------------------------------------------------------------------------------------------------
 
-_EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, l_quantity AS q, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst AND q >= 40)"""
+_EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst)"""
 
 
 def _edges(t):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    e = t("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.col("l_quantity").alias("q"))
-    return e.where("dst IS NOT NULL AND src <> dst AND q >= 40").select("src", "dst").distinct()
+    e = t("lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    return e.where("dst IS NOT NULL AND src <> dst").distinct()
 
 
 def _nodes(t):
