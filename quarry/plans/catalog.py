@@ -173,15 +173,15 @@ def _nodes(t):
     return t("part").select(F.col("p_partkey").alias("node"))
 
 
-@query("WITH d AS (SELECT p_partkey AS node, concat_ws(' ', p_name, p_brand) AS name FROM part) SELECT DISTINCT c.node AS src, d.node AS dst FROM d c JOIN d USING (name) WHERE c.node % 3 <> 0 AND c.node <> d.node")
+@query("WITH d AS (SELECT p_partkey AS node, concat_ws(' ', p_name, p_brand) AS name FROM part) SELECT DISTINCT c.node AS src, d.node AS dst FROM d c JOIN d USING (name) WHERE c.node <> d.node")
 def call_edges(t):
     named = t("part").select(F.col("p_partkey").alias("node"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
-    return graph.resolve_calls(named.where("node % 3 <> 0").withColumnRenamed("node", "src"), named)
+    return graph.resolve_calls(named.withColumnRenamed("node", "src"), named)
 
 
-@query(f"WITH {_EDGES} SELECT DISTINCT n AS node FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) WHERE n NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0)")
+@query(f"WITH {_EDGES} SELECT DISTINCT n AS node FROM (SELECT src AS n FROM e UNION SELECT dst FROM e) WHERE n NOT IN (SELECT vec_id FROM embeddings)")
 def stub_nodes(t):
-    return graph.stub_nodes(_edges(t), _nodes(t).where("node % 3 <> 0"))
+    return graph.stub_nodes(_edges(t), t("embeddings").select(F.col("vec_id").alias("node")))  # parts without a vector
 
 
 @query(f"WITH {_EDGES} SELECT p_partkey AS node, (SELECT count(*) FROM e WHERE dst = p_partkey) AS in_degree, (SELECT count(*) FROM e WHERE src = p_partkey) AS out_degree FROM part")

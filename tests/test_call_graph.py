@@ -75,3 +75,18 @@ def test_expansion_and_centrality_are_whole(spark, edges):
     ins = Counter(b for _, b in edges)
     got = catalog.QUERIES["centrality_hybrid"](spark, SF).select("vec_id", "structural").collect()
     assert len(got) == 30 and all(r["structural"] == round(min(ins[r["vec_id"]] / 10, 1.0), 6) for r in got)
+
+
+def test_call_edges_are_whole(spark, parts):
+    by_name = defaultdict(set)
+    for row in parts.itertuples(index=False):
+        by_name[row.p_name, row.p_brand].add(row.p_partkey)
+    assert set(run(spark, "call_edges")) == {(a, b) for same in by_name.values() for a in same for b in same if a != b}
+
+
+def test_stub_nodes_are_the_parts_without_a_vector(spark, tmp_path):
+    lines = [(1, part, 1, n, 1.0, 1.0) for n, part in enumerate([3, 6, 7, 3, 9, 9], 1)] + [(2, 12, 1, 1, 50.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3,), (7,), (50,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(3,), (6,), (7,), (9,), (12,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted(tuple(r) for r in catalog.QUERIES["stub_nodes"](spark, str(tmp_path)).collect()) == [(6,), (9,)]
