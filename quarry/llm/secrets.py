@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests over whatever else looks like an encoded key.
 
 Candidates are unbroken runs of 20 or more letters, digits and the signs of base 64, with a digit in them. Their encoding
-(hexadecimal, base 32, base 62, base 64) is inferred from the characters; then, over the values of the symbols,
+(hexadecimal, base 32 and base 36 in either case, base 62, base 64) is inferred from the characters; a run that no encoding
+fits, as of a key in a URL path, is cut at its slashes or at its dashes and underscores, whichever gives the stronger piece. Then, over the values of the symbols,
  - a chi-squared test for uniform use of four equal quarters of the alphabet,
  - a runs test (Wald and Wolfowitz) of values in its upper and lower half,
  - a test of the serial correlation at lag one
@@ -35,7 +36,19 @@ LOWER = dict(zip("etaoinsrhldcumfpgwybvkxjqz", (0.12, 0.09, 0.08, 0.075, 0.07, 0
 TEXT = {c: math.log(0.8 * p) for c, p in LOWER.items()} | {c.upper(): math.log(0.08 * p) for c, p in LOWER.items()}
 TEXT |= {c: math.log(0.007) for c in "0123456789"} | {c: math.log(0.05 / 4) for c in "+/-_"}
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-ALPHABETS = ((re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef", True), (re.compile(r"[A-Z2-7]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", False), (re.compile(r"[A-Za-z0-9]+"), B64, False), (re.compile(r"[A-Za-z0-9+/]+"), B64 + "+/", False), (re.compile(r"[A-Za-z0-9_-]+"), B64 + "-_", False))
+BASE32, BASE36 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+#: The first that fits is taken: an alphabet stands before those that hold it.
+ALPHABETS = (
+    (re.compile(r"[0-9a-f]+|[0-9A-F]+"), "0123456789abcdef", True),
+    (re.compile(r"[A-Z2-7]+"), BASE32, False),
+    (re.compile(r"[a-z2-7]+"), BASE32.lower(), False),
+    (re.compile(r"[A-Z0-9]+"), BASE36, False),
+    (re.compile(r"[a-z0-9]+"), BASE36.lower(), False),
+    (re.compile(r"[A-Za-z0-9]+"), B64, False),
+    (re.compile(r"[A-Za-z0-9+/]+"), B64 + "+/", False),
+    (re.compile(r"[A-Za-z0-9_-]+"), B64 + "-_", False),
+)
+SHORTEST, PARTS = 20, (re.compile(r"[^/]+"), re.compile(r"[^_-]+"))
 
 
 def chi2_tail(x: float, half: int) -> float:
@@ -86,16 +99,31 @@ def evidence(token: str) -> tuple[float, float] | None:
         if fits.fullmatch(token):
             symbols = token.lower() if fold else token
             p = battery([alphabet.index(c) for c in symbols], len(alphabet))
-            return p, sum(-math.log(len(alphabet)) - TEXT[c] for c in token)
+            prose = token.lower() if token.isupper() else token  # running text may be all capitals
+            return p, sum(-math.log(len(alphabet)) - TEXT[c] for c in prose)
     return None
 
 
+def candidates(token: str, at: int) -> list[tuple[float, float, int, int]]:
+    """(log e-value, joint p-value, start, end) of the run, or of its pieces where no encoding fits the whole."""
+    if e := evidence(token):
+        return [(e[1], e[0], at, at + len(token))]
+    best: list[tuple[float, float, int, int]] = []
+    for part in PARTS:
+        pieces = [m for m in part.finditer(token) if len(m[0].rstrip("=")) >= SHORTEST and m[0] != token]
+        found = [x for m in pieces for x in candidates(m[0], at + m.start())]
+        if found and (not best or max(found) > max(best)):
+            best = found
+    # the better of two ways to cut is an e-value at half its size
+    return [(e - math.log(2), p, a, b) for e, p, a, b in best]
+
+
 def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of candidates outside `taken` that the battery passes and the e-value procedure selects."""
     found = []
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken) and (e := evidence(m[0])):
-            found.append((e[1], e[0], m.start(), m.end()))
+        if not any(a < m.end() and m.start() < b for a, b in taken):
+            found += candidates(m[0], m.start())
     found.sort(reverse=True)
     passed = max((k for k, x in enumerate(found, 1) if x[0] >= math.log(len(found) / (FDR * k))), default=0)
     return [(a, b) for _, p, a, b in found[:passed] if p >= ALPHA]
