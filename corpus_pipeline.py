@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, line_dedup, mixing, quality, simhash
+from quarry.llm import bpe, line_dedup, mixing, near_text, quality
 from quarry.llm.common import materialize
 
 
@@ -19,8 +19,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that SimHash links, the one with the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles, the one with the smallest doc_id stays."""
+    return near_text.keep_first(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
