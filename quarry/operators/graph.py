@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder, if the session names one; iterations would otherwise pile up plans."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.gettempdir()
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.storage import discard, materialize
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -55,7 +42,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int, backwards: bool = Fals
     frontier = seen
     for hop in range(1, depth + 1):
         new = frontier.join(step, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
-        frontier = cut_lineage(new.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)))
+        frontier = materialize(new.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(hop)), "graph")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -70,7 +57,7 @@ def shortest_path(edges: DataFrame, source, goal, depth: int = 10) -> list:
         if (hit := frontier.where(F.col("node") == goal).agg(F.min("path")).first()[0]) is not None:
             return hit
         new = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = cut_lineage(new.join(seen, "node", "left_anti"))
+        frontier = materialize(new.join(seen, "node", "left_anti"), "graph")
         seen = seen.unionByName(frontier.select("node"))
     return frontier.where(F.col("node") == goal).agg(F.min("path")).first()[0] or []
 
@@ -96,14 +83,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
         given = ranks.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
         loose = ranks.where("n_out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         ranks = base.join(given, F.col("node") == F.col("dst"), "left").select("node", "n_out", (F.lit((1 - damping + damping * loose) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        ranks = cut_lineage(ranks)
+        ranks = materialize(ranks, "graph")
     return ranks.select("node", "rank")
 
 
 def is_dag(edges: DataFrame) -> bool:
     """Kahn's removal of nodes without callers, all of a layer at once."""
     while True:
-        left = cut_lineage(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        left = materialize(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "graph")
         n, m = edges.count(), left.count()
         if m == 0 or m == n:
             return m == 0

@@ -31,7 +31,7 @@ import sys
 class Missing:
     def find_spec(self, name, *_):
         if name == "corpus_pipeline" or name.startswith("quarry.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Missing())
 import __spark_entry__ as e
 names = list(e.queries())
