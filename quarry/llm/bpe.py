@@ -2,8 +2,8 @@
 
 The leaves of the tree are the ranks of the pairs that start at each symbol; every inner node holds the smaller of its two
 children, leaves on equal ranks the left one, so the root is the leftmost pair of lowest rank. A merge changes at most three
-leaves, each updated up to the root in logarithmic time, until the root holds no pair. Words repeat, so their ids are kept in
-a bounded table per worker.
+leaves, each updated up to the root in logarithmic time, until the root holds no pair. Words repeat, so the ids of a text's
+chunks (a word with the space before it, which holds one pre-token or a few) are kept in a bounded table per worker.
 
 Null and empty texts: no ids, and the digest of nothing. Repeated rows and ids: a row each. Very long texts and very long
 words: n log n. A special token's spelling within a text becomes its id, as the tokenizers library has it by default.
@@ -11,6 +11,7 @@ words: n log n. A special token's spelling within a text becomes its id, as the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -18,15 +19,24 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.vocab import BYTE_BPE, Vocabulary, vocabulary
+from quarry.llm.vocab import BYTE_BPE, CHUNKS, Vocabulary, vocabulary
 
-#: Words that a worker keeps, about 200 bytes each.
-KEPT_WORDS = 400_000
-#: Longer words aren't kept.
+#: Words, and chunks, that a worker keeps, about 200 bytes each.
+KEPT = 400_000
+#: Longer ones aren't kept.
 KEPT_LENGTH = 64
 NONE = 1 << 40
 
 
+def keep(known: dict, key: str, value):
+    """Puts the value into a table of bounded size."""
+    if len(key) <= KEPT_LENGTH:
+        if len(known) >= KEPT:
+            known.clear()
+        known[key] = value
+    return value
+
+
 def merge_word(symbols: list[int], merge: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """The symbols after all merges, in the order rank, then place."""
     n = len(symbols)
@@ -76,31 +86,38 @@ def merge_word(symbols: list[int], merge: dict[tuple[int, int], tuple[int, int]]
 
 class Encoder:
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
-
-    def word(self, word: str) -> bytes:
-        """ids of one pre-token, as little-endian unsigned 32-bit integers."""
-        of = self.vocab.of_byte
-        out = array("I", merge_word([of[b] for b in word.encode()], self.vocab.merge)).tobytes()
-        if len(word) <= KEPT_LENGTH:
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            self.known[word] = out
-        return out
+        self.vocab, self.words, self.chunks = vocab, {}, {}
+
+    def word(self, word: str) -> list[int]:
+        """ids of one pre-token."""
+        ids = self.words.get(word)
+        if ids is None:
+            of = self.vocab.of_byte
+            ids = keep(self.words, word, merge_word([of[b] for b in word.encode()], self.vocab.merge))
+        return ids
+
+    def chunk(self, chunk: str) -> bytes:
+        """ids of a chunk's pre-tokens, as little-endian unsigned 32-bit integers."""
+        return keep(self.chunks, chunk, array("I", [i for w in self.vocab.pieces.findall(chunk) for i in self.word(w)]).tobytes())
 
     def encode(self, text: str) -> bytes:
-        out, known, word = [], self.known, self.word
+        out, known, chunk = [], self.chunks.get, self.chunk
         for part, special in self.vocab.split(text):
             if special is not None:
                 out.append(special.to_bytes(4, "little"))
             elif part:
-                out += [known.get(w) or word(w) for w in self.vocab.pieces.findall(part)]
+                out += [known(c) or chunk(c) for c in CHUNKS.findall(part)]
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """Bytes that aren't UTF-8 become U+FFFD, as in the library."""
-        spelled = self.vocab.spelled
-        return b"".join([spelled[i] for i in array("I", ids)]).decode("utf-8", "replace")
+        return b"".join(map(self.vocab.spelled.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, which so learn a word once."""
+    return Encoder(vocabulary(path))
 
 
 def texts_of(batches: Iterable[pa.RecordBatch], id_at: int = 0, text_at: int = 1) -> Iterator[tuple[object, str]]:
@@ -129,7 +146,7 @@ def encode(docs: DataFrame, path: str = BYTE_BPE, doc_id: str = "doc_id", text:
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches):
-        coder = Encoder(vocabulary(path))
+        coder = encoder(path)
         rows = ((k, len(ids) // 4, ids, coder.decode(ids)) for k, ids in ((k, coder.encode(t)) for k, t in texts_of(batches)))
         yield from batched(rows, out)
 
@@ -141,7 +158,7 @@ def round_trip_table(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        coder = Encoder(vocabulary(path))
+        coder = encoder(path)
 
         def rows():
             for k, text in texts_of(batches):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 #: Default vocabulary files, by name in the installed public_tokenizers package; every operator takes another path.
 BYTE_BPE = "byte_bpe_50k.json"
@@ -28,6 +29,12 @@ def byte_alphabet() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
 
 
+#: A text's chunks: a word with the one space before it, or white space as the pre-tokens have it. No pre-token crosses their ends.
+#: The class is Unicode's White_Space, which the pre-tokens' \s is; Python's own \s holds four control characters more.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNKS = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+
+
 class Vocabulary:
     """ids and ranks of a byte-level BPE: `of_byte`, `merge[(left, right)] = (rank, joined)`, `spelled[id]` in bytes, `special`."""
 
