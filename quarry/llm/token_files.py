@@ -14,19 +14,24 @@ order of a hash of their text. No rows: an empty table.
 from __future__ import annotations
 
 import functools
+import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import batched
-from quarry.llm.common import materialize
-from quarry.llm.vocab import BYTE_BPE, place
+from quarry.llm.bpe import KEPT, KEPT_LENGTH, batched
+from quarry.storage import materialize
+from quarry.llm.vocab import BYTE_BPE, CHUNKS, place
 
 BLOCK = 1 << 16
+#: Characters of texts whose unknown chunks go to the library in one call.
+TOGETHER = 2_000_000
 HEADER = struct.Struct("<4sIQQQ")
 MAGIC = b"QTB2"
 END = 0
@@ -81,23 +86,49 @@ def open_block(data: bytes):
     return doc_ids, ends, read
 
 
-@functools.lru_cache(maxsize=2)
-def fast_encoder(name: str):
-    """A function from a text to its ids as numpy, and the size of the vocabulary.
+class LibraryEncoder:
+    """ids of texts as the tokenizers library has them.
 
-    The file is the tokenizers library's; its ranks go to tiktoken, whose ids for the same vocabulary are the same (tests hold
-    one against the other) in a quarter of the time.
+    The library encodes the chunks of the texts (a word with the space before it, or white space), which no pre-token crosses,
+    all those that aren't in the bounded table in one call. So a word costs the library's time once, and no text is too long.
     """
-    import public_tokenizers
-    import tiktoken
 
-    from quarry.llm.vocab import vocabulary
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(place(path))
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.known: dict[str, bytes] = {}
+
+    def cut(self, text: str) -> list[str]:
+        if self.special is None:
+            return CHUNKS.findall(text)
+        # every other part is a special token's spelling, which the library cuts out first
+        return [c for i, part in enumerate(self.special.split(text)) for c in ([part] if i % 2 else CHUNKS.findall(part))]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.cut(t) for t in texts]
+        new = list({c for chunks in cut for c in chunks if c not in self.known})
+        found = self.library.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32) for chunks in cut]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        for c in new:
+            if len(c) > KEPT_LENGTH:
+                self.known.pop(c, None)
+        return out
+
 
-    v = vocabulary(place(name))
-    ranks = {s: i for i, s in v.spelled.items() if i not in set(v.special.values())}
-    coder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
-    allowed = set(v.special)
-    return lambda text: coder.encode_to_numpy(text, allowed_special=allowed), v.size
+@functools.lru_cache(maxsize=2)
+def library_encoder(path: str) -> LibraryEncoder:
+    """One for all tasks of a worker. Tasks are the parallel units; threads within one would take others' cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryEncoder(path)
 
 
 def write(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
@@ -109,21 +140,30 @@ def write(docs: DataFrame, path: str = BYTE_BPE) -> DataFrame:
     out = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
     def run(batches):
-        encode, size = fast_encoder(path)
-        bits = bits_for(size)
+        coder = library_encoder(path)
+        encode, bits = coder.encode, bits_for(coder.size)
+
+        def encoded():
+            """file, doc_id and ids of each document; about TOGETHER characters are encoded at once."""
+            for batch in batches:
+                held, size = [], 0
+                for file, key, text in zip(batch.column(2), batch.column(0), batch.column(1), strict=True):
+                    held.append((file.as_py(), key.as_py(), text.as_py()))
+                    size += len(held[-1][2])
+                    if size >= TOGETHER:
+                        yield from zip(held, encode([t for _, _, t in held]), strict=True)
+                        held, size = [], 0
+                yield from zip(held, encode([t for _, _, t in held]), strict=True)
 
         def blocks():
             file, block, start, n_ids, keys, parts = 0, 0, 0, 0, [], []
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1)
-                file = batch.column(2)[0].as_py() if batch.num_rows else file
-                for i in range(batch.num_rows):
-                    keys.append(ids[i].as_py())
-                    parts.append(np.append(encode(texts[i].as_py()), np.uint32(END)))
-                    n_ids += len(parts[-1])
-                    if n_ids >= BLOCK:
-                        yield file, block, start, n_ids, write_block(keys, parts, bits)
-                        block, start, n_ids, keys, parts = block + 1, start + n_ids, 0, [], []
+            for (file, key, _), ids in encoded():
+                keys.append(key)
+                parts.append(np.append(ids, np.uint32(END)))
+                n_ids += len(parts[-1])
+                if n_ids >= BLOCK:
+                    yield file, block, start, n_ids, write_block(keys, parts, bits)
+                    block, start, n_ids, keys, parts = block + 1, start + n_ids, 0, [], []
             if parts:
                 yield file, block, start, n_ids, write_block(keys, parts, bits)
 
