@@ -1,9 +1,12 @@
 """Token counts by rank-synchronous array merging, equal to sentencepiece's for a BPE model with byte fallback.
 
 No piece of such a model has a space sign after another character, so a text falls apart before each run of spaces, and the
-chunks are merged apart. New chunks of a batch of documents lie in one ragged numpy array (a row each, padded); each round
-finds every row's pair of highest score, leftmost on ties, and applies it in all rows at once, until no row has a pair. Rows
-of like length are merged together; chunks over LONG symbols use a heap, which takes n log n where rounds would be quadratic.
+chunks are merged apart; a long run of spaces falls into blocks of its own, where the model ranks all its pieces of spaces last.
+New chunks of a batch of documents lie in one ragged numpy array, whatever their length. Each round
+finds every row's pair of lowest rank and applies it at all its places in that row at once, left to right where they overlap,
+until no row has a pair. Where a merge makes, with a neighbour, a pair of a rank not behind its own, the row's places to the
+right of it wait, since that pair is next. A round costs the symbols that are left; a row has at most a round for each
+different pair that it merges (far fewer for a long run of one character).
 What is left is counted: a known piece is one token, another character one token per UTF-8 byte.
 
 Null and empty texts: 0. Repeated rows: a row each. Counts of chunks are kept in a bounded table per worker.
@@ -12,8 +15,8 @@ Null and empty texts: 0. Repeated rows: a row each. Counts of chunks are kept in
 from __future__ import annotations
 
 import functools
-import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,13 @@ from quarry.llm.bpe import batched, texts_of
 from quarry.llm.vocab import PIECE_BPE, place
 
 LIMIT = 4096
-LONG = 48
+#: Longer chunks aren't kept.
+KEPT_LENGTH = 64
 KEPT_CHUNKS = 400_000
 #: New chunks that are merged together.
 TOGETHER = 20_000
 NONE = np.int32(2**31 - 1)
 SIGN = "▁"
-CHUNK = re.compile(f"{SIGN}+[^{SIGN}]*|[^{SIGN}]+")
 
 
 class Pieces:
@@ -67,7 +70,21 @@ class Pieces:
         self.keys = np.array([a << 32 | b for a, b, _, _ in pairs], np.int64)
         self.pair_rank = np.array([r for _, _, r, _ in pairs], np.int32)
         self.joined = np.array([k for _, _, _, k in pairs], np.int32)
-        self.table = {(a, b): (r, k) for a, b, r, k in pairs}
+        # joined symbols that are half of a pair whose rank isn't behind their own
+        least = np.full(self.known, NONE, np.int32)
+        for half in (self.keys >> 32, self.keys & 0xFFFFFFFF):
+            some = half < self.known
+            np.minimum.at(least, half[some], self.pair_rank[some])
+        self.early = least <= np.array(rank, np.int32)
+        # pieces of signs alone come after all others in rank, if this model has it so; then a long run falls into blocks from its
+        # left, which a trial on runs up to three blocks confirms
+        runs = [p for p in self.pieces if p == SIGN * len(p)]
+        block = max(map(len, runs), default=1)
+        last = {ranks[score[p]] for p in runs if len(p) > 1} <= {int(self.pair_rank.max())}
+        n = [0, *merge_rows(self, [[self.symbol(SIGN)] * k for k in range(1, 3 * block + 1)]).tolist()]
+        even = block > 1 and last and all(c == k // block + n[k % block] for k, c in enumerate(n))
+        cut = f"{SIGN}{{{block}}}(?={SIGN})|" if even else ""
+        self.chunk = re.compile(f"{cut}{SIGN}+[^{SIGN}]*|[^{SIGN}]+")
 
     def symbol(self, c: str) -> int:
         """Number of a character: its piece's, or from `known` on one that tells its UTF-8 length (its own, if it is half of a pair)."""
@@ -91,67 +108,58 @@ def pieces(name: str) -> Pieces:
 
 
 def merge_rows(p: Pieces, rows: list[list[int]]) -> np.ndarray:
-    """Number of tokens of each row (a list of symbols), all rows merged in step."""
+    """Number of tokens of each row (a list of symbols, none empty), all rows merged in step in one ragged array."""
     n = np.array([len(r) for r in rows])
-    width = int(n.max())
-    a = np.full((len(rows), width), -1, np.int64)
-    a[np.arange(width) < n[:, None]] = np.concatenate([np.array(r, np.int64) for r in rows])
     out = np.empty(len(rows), np.int64)
-    at = np.arange(len(rows))
-    rank = np.full((len(rows), width), NONE, np.int32)
-    join = np.zeros((len(rows), width), np.int32)
-    if width > 1:
-        r, j = p.find(a[:, :-1], a[:, 1:])
-        rank[:, :-1], join[:, :-1] = np.where(a[:, 1:] >= 0, r, NONE), j
-    while len(at):
-        best = rank.argmin(1)  # the first of equal ranks
-        k = np.arange(len(at))
-        live = rank[k, best] != NONE
-        if not live.all():
-            done = ~live
-            out[at[done]] = np.where(a[done] >= 0, p.costs(a[done]), 0).sum(1)
-            at, a, rank, join, n, best = at[live], a[live], rank[live], join[live], n[live], best[live]
-            k = np.arange(len(at))
-            if not len(at):
-                break
-        a[k, best] = join[k, best]
-        # close the gap: what stands right of the pair moves by one
-        columns = np.arange(width)
-        source = np.minimum(columns + (columns > best[:, None]), width - 1)
-        a = np.take_along_axis(a, source, 1)
-        rank, join = np.take_along_axis(rank, source, 1), np.take_along_axis(join, source, 1)
-        n = n - 1
-        a[k, n], rank[k, n] = -1, NONE
-        for place_ in (best - 1, best):
-            left = np.maximum(place_, 0)
-            right = np.minimum(left + 1, width - 1)
-            r, j = p.find(a[k, left], a[k, right])
-            ok = (place_ >= 0) & (left + 1 < n)
-            rank[k, left] = np.where(ok, r, np.where(place_ >= 0, NONE, rank[k, left]))
-            join[k, left] = np.where(ok, j, join[k, left])
-    return out
-
-
-def merge_long(p: Pieces, s: list[int]) -> int:
-    """The same for one long row, with a heap of (rank, place)."""
-    n, get = len(s), p.table.get
-    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-    heap = [(m[0], i, s[i], s[i + 1]) for i in range(n - 1) if (m := get((s[i], s[i + 1])))]
-    heapq.heapify(heap)
-    while heap:
-        _, i, x, y = heapq.heappop(heap)
-        j = after[i]
-        if s[i] != x or j >= n or s[j] != y:
-            continue
-        s[i], s[j] = get((x, y))[1], -1
-        k = after[i] = after[j]
-        if k < n:
-            before[k] = i
-        for h in (before[i], i):
-            if h >= 0 and after[h] < n and (m := get((s[h], s[after[h]]))):
-                heapq.heappush(heap, (m[0], h, s[h], s[after[h]]))
-    left = np.array([x for x in s if x >= 0], np.int64)
-    return int(p.costs(left).sum())
+    a = np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))
+    rank, join = np.full(len(a), NONE, np.int32), np.zeros(len(a), np.int32)
+    row = np.arange(len(rows))  # rows that are left
+    if len(a) > 1:
+        rank[:-1], join[:-1] = p.find(a[:-1], a[1:])
+    rank[np.cumsum(n) - 1] = NONE
+    while True:
+        start = np.cumsum(n) - n
+        low = np.minimum.reduceat(rank, start)
+        if (done := low == NONE).any():
+            cost = np.add.reduceat(p.costs(a), start)
+            out[row[done]] = cost[done]
+            if done.all():
+                return out
+            stay = np.repeat(~done, n)
+            a, rank, join = a[stay], rank[stay], join[stay]
+            row, n, low = row[~done], n[~done], low[~done]
+            start = np.cumsum(n) - n
+        at = np.flatnonzero(rank == np.repeat(low, n))
+        # places next to each other overlap: of a run, the first, the third, ... merge
+        first = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        of = np.repeat(np.arange(len(n)), n)[at]
+        # what a merge makes with its neighbours may come before the row's later places, which then wait
+        new, k = join[at].astype(np.int64), np.flatnonzero(p.early[join[at]])
+        if len(k):
+            left, right = at[k] - 1, at[k] + 2
+            met = (k > 0) & (at[k - 1] == left - 1)  # the symbol before comes of the merge before
+            before = np.where(met, new[k - 1], a[np.maximum(left, 0)])
+            begin, stop = start[of[k]], start[of[k]] + n[of[k]]
+            ahead = (left >= begin) & (p.find(before, new[k])[0] <= low[of[k]])
+            ahead |= (right < stop) & (p.find(new[k], a[np.minimum(right, len(a) - 1)])[0] <= low[of[k]])
+            if ahead.any():
+                last = np.full(len(n), len(a))
+                np.minimum.at(last, of[k[ahead]], at[k[ahead]])
+                ok = at <= last[of]
+                at, of = at[ok], of[ok]
+        a[at] = join[at]
+        stay = np.ones(len(a), bool)
+        stay[at + 1] = False
+        n = n - np.bincount(of, minlength=len(n))
+        end = np.cumsum(n) - 1
+        now = at - np.arange(len(at))  # places after the gaps are closed
+        a, rank, join = a[stay], rank[stay], join[stay]
+        touched = np.unique(np.concatenate([now, now[now > 0] - 1]))
+        right = np.minimum(touched + 1, len(a) - 1)
+        rank[touched], join[touched] = p.find(a[touched], a[right])
+        rank[end] = NONE
 
 
 class Counter:
@@ -159,18 +167,13 @@ class Counter:
         self.p, self.known = p, {}
 
     def learn(self, chunks: list[str]) -> None:
-        """Counts chunks that aren't known yet; rows of like length share an array."""
+        """Counts chunks that aren't known yet; rows of like length share an array, since the longest sets the number of rounds."""
         p, groups = self.p, {}
         number, symbol = p.number, p.symbol
         for c in chunks:
-            s = [number[x] if x in number else symbol(x) for x in c]
-            if len(s) > LONG:
-                self.known[c] = merge_long(p, s)
-            else:
-                groups.setdefault(-(-len(s) // 4), ([], []))
-                g = groups[-(-len(s) // 4)]
-                g[0].append(c)
-                g[1].append(s)
+            names, rows = groups.setdefault(len(c).bit_length(), ([], []))
+            names.append(c)
+            rows.append([number[x] if x in number else symbol(x) for x in c])
         for names, rows in groups.values():
             self.known.update(zip(names, merge_rows(p, rows).tolist(), strict=True))
 
@@ -178,7 +181,7 @@ class Counter:
         if not text:
             return []
         text = (SIGN if self.p.prefix else "") + text.replace(" ", SIGN)
-        return CHUNK.findall(text)
+        return self.p.chunk.findall(text)
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.chunks(t) for t in texts]
@@ -191,17 +194,23 @@ class Counter:
             self.known.clear()
         else:
             for c in new:
-                if len(c) > LONG:
+                if len(c) > KEPT_LENGTH:
                     self.known.pop(c, None)
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def counter_of(path: str) -> Counter:
+    """One for all tasks of a worker."""
+    return Counter(pieces(path))
+
+
 def token_count_table(docs: DataFrame, path: str = PIECE_BPE, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row."""
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches):
-        counter = Counter(pieces(path))
+        counter = counter_of(path)
 
         def rows():
             held, size = [], 0
