@@ -1,11 +1,8 @@
-"""What the corpus operators share: words, the shared folder, packed message rows."""
+"""What the corpus operators share: words, and characters of a class."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters that part words; a word is a run of anything else.
@@ -13,32 +10,6 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACES = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf
-
-
-def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder; a lost executor costs no recomputation of what stands before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/quarry-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text, in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS, -1), lambda w: w != "")

@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, materialize
+from quarry.llm.common import SPACES
+from quarry.storage import materialize
 
 #: Lengths from which one and two edits are allowed.
 ONE, TWO = 16, 32

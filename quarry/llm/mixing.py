@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, word_count
+from quarry.llm.common import word_count
+from quarry.storage import materialize
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
