@@ -22,49 +22,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACES
-from quarry.storage import materialize
+from quarry.storage import discard, materialize
 
 #: Lengths from which one and two edits are allowed.
 ONE, TWO = 16, 32
 MOST = 2
+#: Lines under one key from which the key is split.
+HOT = 1000
 
 
 def allowed(length: Column) -> Column:
     return F.when(length < ONE, 0).when(length < TWO, 1).otherwise(2)
 
 
-def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i of `parts` even ones, the longer ones last."""
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    short = parts - longer
-    return i * base + F.greatest(F.lit(i) - short, F.lit(0)) + 1, base + F.when(F.lit(i) >= short, 1).otherwise(0)
+def _probes(shorter: int, edits: int) -> list[tuple[int, int, int, int, int]]:
+    """(1, how much shorter the other line is, segments, number of the segment, shift) for each place where one of its segments can stand."""
+    shifts = ((i, range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1)) for i in range(edits + 1))
+    return [(1, shorter, edits + 1, i, s) for i, around in shifts for s in around]
 
 
-def index_keys(line: Column, length: Column) -> Column:
-    """Hashes of (length, number, text) of the line's own segments."""
+def _plan(length: int) -> list[tuple[int, int, int, int, int]]:
+    """What a line of this length enters into the index (0, 0, ...), and all it looks up: lines of at most its length within the edits allowed by theirs."""
+    edits = 2 if length >= TWO else 1
+    out = [(0, 0, edits + 1, i, 0) for i in range(edits + 1)]
+    for shorter in range(MOST + 1):
+        other = length - shorter
+        if other >= TWO:
+            out += _probes(shorter, 2)
+        elif other >= ONE and shorter <= 1:
+            out += _probes(shorter, 1)
+    return out
 
-    def of(edits: int) -> Column:
-        cuts = [_segment(length, edits + 1, i) for i in range(edits + 1)]
-        return F.array(*[F.xxhash64(length, F.lit(i), F.substring(line, at, n)) for i, (at, n) in enumerate(cuts)])
 
-    return F.when(length >= TWO, of(2)).when(length >= ONE, of(1))
+def line_keys(lines: DataFrame) -> DataFrame:
+    """hp, key for each segment that a line enters or looks up. lines has h, n and b (the line in four bytes a code point); hp is h with its low bit 1 for a look-up.
 
+    The plan of a length is a literal, and one small expression makes the key of each of its rows: a line's keys in a single
+    expression are too much code for the JVM to compile.
+    """
 
-def probe_keys(line: Column, length: Column) -> Column:
-    """Hashes under which a line of at most this length within the allowed edits can stand in the index."""
-
-    def of(shorter: int, edits: int) -> Column:
-        n, out = length - shorter, []
-        for i in range(edits + 1):
-            at, size = _segment(n, edits + 1, i)
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            out += [F.xxhash64(n, F.lit(i), F.substring(line, at + shift, size)) for shift in range(low, high + 1)]
-        return F.array(*out)
+    def literal(length: int) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("probe", "d", "parts", "i", "shift"), x, strict=True)]) for x in _plan(length)])
 
-    none = F.array().cast("array<bigint>")
-    steps = [F.when(length - d >= TWO, of(d, 2)).when((length - d >= ONE) & F.lit(d <= 1), of(d, min(1, max(d, 1)))).otherwise(none) for d in range(MOST + 1)]
-    return F.array_distinct(F.concat(*steps))
+    n = F.col("n")
+    plan = F.when(n >= TWO + MOST, literal(TWO + MOST))
+    for length in (TWO + 1, TWO, ONE + 1, ONE):
+        plan = plan.when(n >= length, literal(length))
+    x = lines.select("h", "n", "b", F.explode(plan).alias("x")).select("h", "b", (n - F.col("x.d")).alias("m"), "x.probe", "x.parts", "x.i", "x.shift")
+    base, short = F.expr("m div parts").cast("int"), F.col("parts") - F.col("m") % F.col("parts")
+    x = x.select("h", "b", "m", "probe", "i", "shift", base.alias("base"), short.alias("short"))
+    at = F.col("i") * F.col("base") + F.greatest(F.col("i") - F.col("short"), F.lit(0)) + F.col("shift")
+    size = F.col("base") + (F.col("i") >= F.col("short")).cast("int")
+    key = F.xxhash64("m", "i", F.substring("b", 4 * at + 1, 4 * size))
+    return x.select(F.col("h").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("probe").cast("long")).alias("hp"), key.alias("key"))
 
 
 def within(a: Column, b: Column, edits: Column) -> Column:
@@ -126,6 +136,14 @@ def _parity(c: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.get(c, i), F.get(c, i + 1)), F.lit(64)).cast("int"))))
 
 
+def _blocks(parity: Column) -> Column:
+    """Parities cut into 4 * MOST + 1 blocks, numbered: of two that differ in at most 4 * MOST bits, one block is equal."""
+    n = 4 * MOST + 1
+    width = 64 // n
+    cut = [F.call_function("shiftrightunsigned", parity, F.lit(i * width)) for i in range(n)]
+    return F.array(*[(c if i == n - 1 else c.bitwiseAND(F.lit((1 << width) - 1))) + F.lit(i << 32) for i, c in enumerate(cut)])
+
+
 def _chars(line: Column) -> Column:
     """Code points; split('') would part surrogate pairs."""
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
@@ -135,29 +153,30 @@ def near_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1, h2 of the lines that stand later than another line within the allowed edits.
 
     Keys of one line only go at once. Lines that are left are fetched and compared under their shared keys; the parities keep
-    what can't be within the edits from leaving that join, so a key with many unlike lines sends out few pairs.
+    what can't be within the edits from leaving that join, so a key with many unlike lines sends out few pairs. A key of more
+    than HOT lines is split by blocks of the parities, one of which is equal in any pair within the edits.
     """
     taken = _at(d, firsts).select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
-    line = taken.select(F.explode(F.transform("ps", lambda p: F.get("ls", p))).alias("line")).select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n")).where(F.col("n") >= ONE)
-
-    def marked(keys: Column, probes: bool) -> Column:
-        return F.transform(keys, lambda key: F.struct(key.alias("key"), F.lit(probes).alias("probes")))
-
-    keys = line.select("h", F.explode(F.concat(marked(index_keys(F.col("line"), F.col("n")), False), marked(probe_keys(F.col("line"), F.col("n")), True))).alias("x")).select("h", "x.*")
-    same = Window.partitionBy("key")
-    keys = keys.select("h", "key", "probes", F.min("h").over(same).alias("low"), F.max("h").over(same).alias("high"), F.min("probes").over(same).alias("all_probe"))
-    shared = keys.where("low <> high AND NOT all_probe").groupBy(F.col("h").alias("h1")).agg(F.collect_list(F.struct("key", "probes")).alias("keys"))
-    of = _at(d, firsts.join(shared, "h1"), "inner", "keys").select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
+    line = taken.select(F.explode(F.transform("ps", lambda p: F.get("ls", p))).alias("line"))
+    line = line.select(F.xxhash64("line").alias("h"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("b")).where(F.col("n") >= ONE)
+    same, h, probe = Window.partitionBy("key"), F.col("hp").bitwiseAND(F.lit(-2)), F.col("hp").bitwiseAND(F.lit(1))
+    keys = line_keys(line).select("hp", "key", F.min(h).over(same).alias("low"), F.max(h).over(same).alias("high"), F.min(probe).over(same).alias("all_probe"))
+    # by the hash without its low bit: should two lines agree in that, they get each other's keys too, which the check refuses
+    shared = keys.where("low <> high AND all_probe = 0").groupBy(h.alias("h0")).agg(F.collect_set(F.struct("key", (probe == 1).alias("probes"))).alias("keys"))
+    shared = firsts.join(shared, firsts["h1"].bitwiseAND(F.lit(-2)) == F.col("h0")).drop("h0")
+    of = _at(d, shared, "inner", "keys").select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
     of = of.select("doc_id", "rid", F.explode(F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), p["keys"].alias("keys"), F.get("ls", p["pos"]).alias("line")))).alias("x"))
     of = of.select(F.struct(F.struct("doc_id", "rid", "x.pos").alias("o"), *_ids(F.col("x.line"))).alias("at"), F.col("x.line").alias("line"), "x.keys", _chars(F.col("x.line")).alias("c"))
     # never null: else the join below infers a filter that computes it again, per element
     of = of.select("at", "line", "keys", F.coalesce(_parity(F.col("c")), F.lit(0).cast("long")).alias("parity"))
     # dealt out here, so that what stands above is computed once for its four readers
     of = of.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at")
-    each = of.select("at", "parity", F.explode("keys").alias("k"))
-    x = each.where("NOT k.probes").select("k.key", F.col("at").alias("x"), F.col("parity").alias("pa"))
-    y = each.where("k.probes").select("k.key", F.col("at").alias("y"), F.col("parity").alias("pb"))
-    like = (x["key"] == y["key"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * MOST)
+    each = of.select("at", "parity", F.explode("keys").alias("k")).select("at", "parity", "k.key", "k.probes")
+    hot = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(F.col("key").alias("hot"))
+    each = each.join(hot, F.col("key") == F.col("hot"), "left").select("at", "parity", "key", "probes", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(_blocks(F.col("parity")))).alias("block"))
+    x = each.where("NOT probes").select("key", "block", F.col("at").alias("x"), F.col("parity").alias("pa"))
+    y = each.where("probes").select("key", "block", F.col("at").alias("y"), F.col("parity").alias("pb"))
+    like = (x["key"] == y["key"]) & (x["block"] == y["block"]) & (F.col("x") != F.col("y")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * MOST)
     met = x.join(y, like).select("x", "y").distinct()  # a pair meets under several keys
     texts = of.select("at", "line")
     met = met.join(texts.select(F.col("at").alias("x"), F.col("line").alias("lx")), "x").join(texts.select(F.col("at").alias("y"), F.col("line").alias("ly")), "y")
