@@ -2,13 +2,15 @@
 
 Vectors are dealt to shards by hash, about SHARD rows each, and queries to blocks of about BLOCK; each shard meets each block
 once. In a shard, a node of the tree bounds the inner product with a query q by q . centre + |q| * radius. A block goes down
-the tree together: at every node the queries whose bound is under their current k-th score leave, the child with the higher
-mean bound comes first, and leaves are multiplied as matrices. The k-th scores stay with the block from shard to shard in a
-task, so later shards start with what earlier ones found. Ties go to the smaller vec_id; bounds keep equality for that.
+the tree together: at every node the queries whose bound is under their current k-th score leave, each of the others sees the
+child with its own higher bound first, and leaves are multiplied as matrices. The k-th scores stay with the block from shard to
+shard in a task (8 bytes a query), so later shards start with what earlier ones found. Ties go to the smaller vec_id; bounds
+keep equality for that.
 
 Vectors that are null or hold null or non-finite components take no part. A query meets candidates of its own length only.
-Rows that are equal in id and vector count once; other rows that share an id count each. No rows: no rows. Scores are
-exact integers; where they could pass 2**53 they are summed as Python integers (beyond 64 bits: the limit of long).
+Rows that repeat an id, or id and vector, are rows like others: each is a query, and a candidate for all rows but itself. Equal
+rows are aggregated first: of more than k + 1 of them a list can't hold more, and all of them have the same list, which is
+searched once. No rows: no rows. Scores are exact integers; where they could pass 2**53 they are summed as Python integers (beyond 64 bits: the limit of long).
 """
 
 from __future__ import annotations
@@ -66,14 +68,18 @@ class Best:
 
 
 def descend(node: Ball, x: np.ndarray, ids: np.ndarray, q: np.ndarray, norms: np.ndarray, own: np.ndarray, rows: np.ndarray, best: Best) -> None:
+    if not len(rows):
+        return
     bound = q[rows] @ node.centre + norms[rows] * node.radius
     rows = rows[bound + 1e-6 * (1 + np.abs(bound)) >= best.kth[rows]]
     if not len(rows):
         return
     if node.children:
-        mean = [float((q[rows] @ c.centre + norms[rows] * c.radius).mean()) for c in node.children]
-        for c in sorted((0, 1), key=lambda i: -mean[i]):
-            descend(node.children[c], x, ids, q, norms, own, rows, best)
+        left, right = node.children
+        first = q[rows] @ (left.centre - right.centre) + norms[rows] * (left.radius - right.radius) >= 0
+        descend(left, x, ids, q, norms, own, rows[first], best)
+        descend(right, x, ids, q, norms, own, rows, best)
+        descend(left, x, ids, q, norms, own, rows[~first], best)
         return
     score = q[rows] @ x[node.points].T
     mine = own[rows][:, None] == node.points  # a query isn't its own candidate
@@ -97,7 +103,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec
     e = F.col("e")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = rows.where(F.col("id").isNotNull() & e.isNotNull() & ~bad).distinct().withColumn("dim", F.size("e"))
+    rows = rows.where(F.col("id").isNotNull() & e.isNotNull() & ~bad).groupBy("id", "e").agg(F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("e"))
     sizes = {r["dim"]: (r["n"], r["m"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("m")).collect()}
     shards = F.create_map(*[F.lit(v) for d, (n, _) in sizes.items() for v in (d, -(-n // SHARD))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     blocks = F.create_map(*[F.lit(v) for d, (_, m) in sizes.items() for v in (d, max(1, -(-m // BLOCK)))]) if sizes else shards
@@ -107,22 +113,25 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec
 
     def packed(table: pa.Table, group: str) -> pa.Table:
         table = table.sort_by("id")
-        ids = table.column("id").to_numpy()
+        ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
         d = table.column("dim")[0].as_py()
         x = np.floor(SCALE * table.column("e").combine_chunks().flatten().to_numpy()).reshape(len(ids), d) if d else np.zeros((len(ids), 0))
-        return pa.table({"dim": pa.array([d], pa.int32()), group: table.column(group)[:1].cast(pa.int64()), "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()]})
+        if group == "shard":
+            copies = np.minimum(times, k + 1)
+            ids, x, times = np.repeat(ids, copies), np.repeat(x, copies, axis=0), times[:0]
+        return pa.table({"dim": pa.array([d], pa.int32()), group: table.column(group)[:1].cast(pa.int64()), "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "times": [times.astype("<i8").tobytes()]})
 
-    right = rows.groupBy("dim", "shard").applyInArrow(lambda t: packed(t, "shard"), "dim int, shard long, ids binary, x binary")
-    left = queries.groupBy("dim", "block").applyInArrow(lambda t: packed(t, "block"), "dim int, block long, ids binary, x binary")
-    left = left.select("dim", "block", F.col("ids").alias("q_ids"), F.col("x").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.try_element_at(shards, F.col("dim")).cast("long") - 1)).alias("shard"))
-    met = left.join(right, ["dim", "shard"]).select("dim", "shard", "block", "q_ids", "q", "ids", "x")
-    out = pa.schema([("query_id", pa.int64()), ("block", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    right = rows.groupBy("dim", "shard").applyInArrow(lambda t: packed(t, "shard"), "dim int, shard long, ids binary, x binary, times binary")
+    left = queries.groupBy("dim", "block").applyInArrow(lambda t: packed(t, "block"), "dim int, block long, ids binary, x binary, times binary")
+    left = left.select("dim", "block", F.col("ids").alias("q_ids"), F.col("x").alias("q"), "times", F.explode(F.sequence(F.lit(0).cast("long"), F.try_element_at(shards, F.col("dim")).cast("long") - 1)).alias("shard"))
+    met = left.join(right.drop("times"), ["dim", "shard"]).select("dim", "shard", "block", "q_ids", "q", "ids", "x", "times")
+    out = pa.schema([("query_id", pa.int64()), ("block", pa.int64()), ("query", pa.int64()), ("times", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
         built, kth = (None,), {}
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, shard, block, q_ids, q, ids, x = (batch.column(c)[i].as_py() for c in range(7))
+                dim, shard, block, q_ids, q, ids, x, times = (batch.column(c)[i].as_py() for c in range(8))
                 if built[0] != (dim, shard):
                     ids = np.frombuffer(ids, "<i8")
                     x = np.frombuffer(x, "<f8").reshape(len(ids), dim)
@@ -139,22 +148,21 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec
                     best.kth = kth.get((dim, block), best.kth)
                     best.score[:] = -np.inf
                     descend(tree, x, ids, q, np.sqrt((q * q).sum(1)), own, np.arange(len(q_ids)), best)
-                    if len(kth) < 64 or (dim, block) in kth:
-                        kth[dim, block] = np.maximum(best.score[:, -1], kth.get((dim, block), best.score[:, -1]))
+                    kth[dim, block] = np.maximum(best.score[:, -1], kth.get((dim, block), best.score[:, -1]))
                     good = [np.isfinite(s) for s in best.score]
                     got, score = [r[g].tolist() for r, g in zip(best.id, good, strict=True)], [r[g].astype(np.int64).tolist() for r, g in zip(best.score, good, strict=True)]
                 n = [len(s) for s in score]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.full(sum(n), block)), pa.array(np.repeat(np.arange(len(n)), n)), pa.array([v for r in got for v in r], pa.int64()), pa.array([v for r in score for v in r], pa.int64())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.full(sum(n), block)), pa.array(np.repeat(np.arange(len(n)), n)), pa.array(np.repeat(np.frombuffer(times, "<i8"), n)), pa.array([v for r in got for v in r], pa.int64()), pa.array([v for r in score for v in r], pa.int64())], schema=out)
 
-    found = met.mapInArrow(run, "query_id long, block long, query long, vec_id long, score long")
+    found = met.mapInArrow(run, "query_id long, block long, query long, times long, vec_id long, score long")
     order = Window.partitionBy("query_id", "block", "query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT DISTINCT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-f AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM f q JOIN f c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+f AS (SELECT r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM v),
+s AS (SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM f q JOIN f c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -118,8 +118,8 @@ def top_k(rows: list[tuple], k: int = 5, every: int = 50) -> list[tuple]:
 
     good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for a, q in good:
+    for i, (a, q) in enumerate(good):
         if a % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(q, v, strict=True)), b) for b, v in good if b != a)[:k]
+            best = sorted((-sum(x * y for x, y in zip(q, v, strict=True)), b) for j, (b, v) in enumerate(good) if j != i)[:k]
             out += [(a, r, b, -s) for r, (s, b) in enumerate(best, 1)]
     return out
