@@ -12,10 +12,10 @@ With at most four differing bits in all, pigeonhole leaves two cases.
    the key is a half of each of the two and a codeword number of the third.
 So any linked pair shares one of the keys, 33 bits each and at most 108 a fingerprint. Only different fingerprints get keys,
 copies are joined before. Rows are dealt by key; equal keys are compared in blocks, and a key sends out a spanning forest of
-its links, never all pairs. Components are then found with links between the smallest doc_id of each fingerprint.
+its links, never all pairs. Components are then found with links between fingerprints, and the smallest doc_id of each.
 
-Null and wordless texts have fingerprint zero, linked like any other. Repeated rows and ids: a row each. Null ids: the
-component of their fingerprint. No rows: no rows.
+Null and wordless texts have fingerprint zero, linked like any other. Repeated rows and ids: a row each. Rows with a null id
+have the component of their fingerprint, and join what is on both sides of it; a component without any id is null. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -217,15 +217,12 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of at most NEAR bits) for each row."""
     rows = materialize(fingerprints(docs, doc_id, text), "prints")
-    prints = materialize(rows.groupBy("f").agg(F.min("doc_id").alias("first")), "firsts")
-    named = prints.where("first IS NOT NULL")
-    found = components(links(named)).select(F.col("node").alias("first"), "component")
-    of_print = prints.join(found, "first", "left").select(F.col("f").alias("g"), F.coalesce("component", "first").alias("component_id"))
+    # a fingerprint stands for itself in links and components, whether or not its rows have an id
+    prints = materialize(rows.groupBy("f").agg(F.min("doc_id").alias("least")), "firsts")
+    found = components(links(prints.select("f", F.col("f").alias("first")))).select(F.col("node").alias("g"), "component")
+    label = prints.join(found, F.col("f") == F.col("g"), "left").select("f", "least", F.coalesce("component", "f").alias("label"))
+    smallest = label.groupBy(F.col("label").alias("l")).agg(F.min("least").alias("component_id"))
+    of_print = label.join(smallest, F.col("label") == F.col("l")).select(F.col("f").alias("g"), "component_id")
     hexed = F.lower(F.lpad(F.hex("f"), 16, "0"))
     return rows.join(of_print, F.col("f") == F.col("g")).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their component: the one with the smallest id (rows that repeat an id stay together). Null ids stay."""
-    found = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__id"), "left_anti")
