@@ -1,11 +1,16 @@
 """Near copies by their texts: documents whose sets of five-word shingles have a Jaccard similarity of 4/5 or more.
 
-Every linked pair is found. In any one order of all shingles, two sets of that similarity share one of the first n // 5 + 1 of
-each; those are the keys. Shingles that a sample sees often stand last in the order, so that common passages are seldom keys;
-the sample decides how many candidates there are, never what is linked. Candidates are verified on the whole sets.
+SimHash fingerprints of the five-word shingles come first: those within four bits of each other are linked by their Golay keys
+(quarry/llm/simhash.py), and each link is verified on the sets. Sets at a similarity near 4/5 often differ in more bits than any
+affordable number of keys covers, so links that fingerprints can't see are completed exactly: in any one order of all shingles,
+two sets of that similarity share one of the first n // 5 + 1 of each; those are the keys. Shingles that a sample sees often
+stand last in the order, so that common passages are seldom keys; the sample decides how many candidates there are, never what
+is linked. Each set first meets the head of its key and its neighbour by size, then those of its keys that are still apart.
 
-First each set meets only the head of its key and its neighbour by size, which joins large groups of near copies; then those
-pairs of a key that are still apart. Equal sets are joined before. Wordless texts are equal; null ids link nothing.
+What leaves for verification is small first: 1024 parities of the hashes of a set. Two sets differ in at least as many elements
+as their parities do, so pairs whose parities differ in more than (n + m) / 9 are no links. Only the others fetch their sets.
+
+Equal sets are joined before. Wordless texts are equal; null ids link nothing. Repeated ids are linked as one document.
 """
 
 from __future__ import annotations
@@ -13,16 +18,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import texts_of
-from quarry.storage import materialize
+from quarry.llm.bpe import batched, texts_of
 from quarry.llm.components import components
+from quarry.llm.simhash import fingerprint, links
+from quarry.storage import discard, materialize
 
 WORDS, SAMPLE, OFTEN = 5, 4000, 3
-#: Sets of one key that are compared at once.
-ROWS = 2048
+PARITIES = 1024
 
 
 def shingles(text: str) -> np.ndarray:
@@ -45,91 +50,109 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in often.select("s").collect()], np.int64))
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, g (a digest of the set), s (the set) for each row."""
-    out = pa.schema([("doc_id", pa.int64()), ("g", pa.binary()), ("s", pa.list_(pa.int64()))])
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, g (a digest of the set), f (the fingerprint) for each row."""
+    out = pa.schema([("doc_id", pa.int64()), ("g", pa.binary()), ("f", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = [(k, shingles(t)) for k, t in texts_of([batch.slice(at, 500)])]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([xxhash.xxh128_digest(s.tobytes()) for _, s in rows], pa.binary()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], schema=out)
+        rows = ((k, xxhash.xxh128_digest(shingles(t).tobytes()), (f := fingerprint(t, WORDS)) - (f >> 63 << 64)) for k, t in texts_of(batches))
+        yield from batched(rows, out, 5000)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, g binary, s array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, g binary, f long")
 
 
-def candidates(named: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
-    """a, b: pairs that share a key and whose sizes allow the similarity; named has first, label, s. Unless whole, only pairs with the head and the neighbour of a key."""
-    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def shared_keys(texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """key, first, n: the keys of each set (first: its document; n: its size) that another set has too."""
+    out = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("n", pa.int32())])
 
     def spread(batches):
         for batch in batches:
-            for first, label, s in zip(*(batch.column(c) for c in range(3)), strict=True):
-                s = s.values.to_numpy()
+            for first, t in texts_of([batch]):
+                s = shingles(t)
                 if len(s):
-                    key = np.concatenate([s[~(hot := np.isin(s, common))], s[hot]])[: len(s) // 5 + 1]
-                    m = len(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(m, len(s))), pa.array(np.full(m, first.as_py())), pa.array(np.full(m, label.as_py()))], names=["key", "n", "first", "label"])
-
-    def pairs(n, first, label):
-        if not whole:
-            yield first[:-1], first[1:], 4 * n[1:] <= 5 * n[:-1]
-            yield np.full(len(n) - 1, first[0]), first[1:], 4 * n[1:] <= 5 * n[0]
-            return
-        for a in range(0, len(n), ROWS):
-            for b in range(a, len(n), ROWS):
-                i, j = np.nonzero((label[a : a + ROWS, None] != label[None, b : b + ROWS]) & (4 * n[None, b : b + ROWS] <= 5 * n[a : a + ROWS, None]) & (4 * n[a : a + ROWS, None] <= 5 * n[None, b : b + ROWS]))
-                yield first[a + i], first[b + j], np.ones(len(i), bool)
-
-    def match(batches):
-        held: list[tuple] = []
-
-        def groups(key, n, first, label):
-            cut = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
-            for s, e in zip(cut[:-1][np.diff(cut) > 1].tolist(), cut[1:][np.diff(cut) > 1].tolist(), strict=True):
-                for a, b, fits in pairs(n[s:e], first[s:e], label[s:e]):
-                    fits = fits & (a != b)
-                    if fits.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[fits]), pa.array(np.maximum(a, b)[fits])], schema=edge)
+                    key = np.concatenate([s[~(hot := np.isin(s, common, assume_unique=True))], s[hot]])[: len(s) // 5 + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), first)), pa.array(np.full(len(key), len(s), np.int32))], schema=out)
+
+    keyed = texts.mapInArrow(spread, "key long, first long, n int")
+    same = Window.partitionBy("key")
+    keyed = keyed.select("*", F.min("first").over(same).alias("low"), F.max("first").over(same).alias("high"))
+    return keyed.where("low <> high").select("key", "first", "n").distinct()
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """doc_id, n, parity (1024 bits), s (the set, as bytes)."""
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("s", pa.binary())])
+
+    def run(batches):
+        def rows():
+            for k, t in texts_of(batches):
+                s = shingles(t)
+                odd = np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1
+                yield k, len(s), np.packbits(odd.astype(bool)).tobytes(), s.tobytes()
+
+        yield from batched(rows(), out, 1000, 4_000_000)
+
+    return texts.mapInArrow(run, "doc_id long, n long, parity binary, s binary")
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity. held has the sets of all that stand in pairs."""
+    edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def both(pairs: DataFrame, what: str) -> DataFrame:
+        for c in "ab":
+            pairs = pairs.join(held.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col(what).alias("x" + c)), c)
+        return pairs.select("a", "b", "na", "nb", "xa", "xb")
 
+    def may(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(c).to_numpy() for c in range(4)))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # one key so far
-            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
-            yield from groups(*(c[:last] for c in cols))
-            held = [tuple(c[last:] for c in cols)]
-        if held:
-            yield from groups(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                n = part.column(2).to_numpy() + part.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (4, 5))
+                ok = 9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], schema=edge)
 
-    keyed = named.select("first", "label", "s").mapInArrow(spread, "key long, n long, first long, label long")
-    parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "key").sortWithinPartitions("key", "n", "first").mapInArrow(match, "a long, b long").distinct()
+    def near(batches):
+        def rows():
+            for batch in batches:
+                for a, b, na, nb, x, y in zip(*(batch.column(c) for c in range(6)), strict=True):
+                    shared = len(np.intersect1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True))
+                    if 9 * shared >= 4 * (na.as_py() + nb.as_py()):
+                        yield a.as_py(), b.as_py()
 
+        yield from batched(rows(), edge, 10_000)
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    x, y = (rows.select(F.col("doc_id").alias(c), F.col("s").alias("s" + c)) for c in "ab")
-    near = 9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))
-    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b").distinct()
+    close = both(pairs.where("a <> b").distinct(), "parity").mapInArrow(may, "a long, b long").distinct()
+    return both(close, "s").mapInArrow(near, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over links) for each row."""
     common = common_shingles(docs)
-    rows = materialize(sets(docs), "sets")
-    firsts = materialize(rows.groupBy("g").agg(F.min("doc_id").alias("first")), "firsts")
-    own = rows.join(firsts.select(F.col("g").alias("h"), "first"), (F.col("g") == F.col("h")) & (F.col("doc_id") == F.col("first")), "left_semi")
-    named = own.select(F.col("doc_id").alias("first"), "s")
-    links = materialize(verified(candidates(named.withColumn("label", F.col("first")), common, False), rows), "near")
-    found = components(links).select(F.col("node").alias("first"), "component")
-    labelled = named.join(found, "first", "left").withColumn("label", F.coalesce("component", "first"))
-    more = materialize(verified(candidates(labelled, common, True), rows), "near")
-    found = components(links.unionByName(more)).select(F.col("node").alias("first"), "component")
+    rows = materialize(digests(docs), "digests")
+    firsts = materialize(rows.groupBy("g").agg(F.min("doc_id").alias("first"), F.first("f").alias("f")).where("first IS NOT NULL"), "firsts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    keys = materialize(shared_keys(texts, common), "keys")
+    seen = materialize(links(firsts.groupBy("f").agg(F.min("first").alias("first"))), "seen")
+    ids = keys.select(F.col("first").alias("doc_id")).unionByName(seen.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
+    held = materialize(sets(texts.join(ids, "doc_id", "left_semi")), "sets")
+    order = Window.partitionBy("key").orderBy("n", "first")
+    near_by = F.array(F.lag(F.struct("first", "n")).over(order), F.first(F.struct("first", "n")).over(order))
+    met = keys.select("first", "n", near_by.alias("by")).select("first", "n", F.explode("by").alias("x")).where("4 * n <= 5 * x.n AND x.first <> first")
+    met = met.select(F.least("first", "x.first").alias("a"), F.greatest("first", "x.first").alias("b"))
+    joined = materialize(verified(seen.unionByName(met), held), "near")
+    found = components(joined).select(F.col("node").alias("first"), "component")
+    apart = keys.join(found, "first", "left").select("key", "first", "n", F.coalesce("component", "first").alias("label"))
+    same = Window.partitionBy("key")
+    apart = apart.select("*", F.min("label").over(same).alias("low"), F.max("label").over(same).alias("high")).where("low <> high")
+    x, y = (apart.select("key", F.col("first").alias(c), F.col("n").alias("n" + c), F.col("label").alias("l" + c)) for c in "ab")
+    more = x.join(y, "key").where("a < b AND la <> lb AND 4 * na <= 5 * nb AND 4 * nb <= 5 * na").select("a", "b")
+    more = materialize(verified(more, held), "near")
+    found = materialize(components(joined.unionByName(more)).select(F.col("node").alias("first"), "component"), "found")
+    discard(keys, seen, held, joined, more)
     of_set = firsts.join(found, "first", "left").select(F.col("g").alias("h"), F.coalesce("component", "first").alias("component_id"))
-    return rows.select("doc_id", "g").join(of_set, F.col("g") == F.col("h")).select("doc_id", "component_id")
+    return rows.select("doc_id", "g").join(of_set, F.col("g") == F.col("h"), "left").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
