@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, token_counts, token_files, topk
+from quarry.llm import bpe, line_dedup, mixing, near_text, quality, secrets, simhash, suffix_dedup, token_counts, token_files, topk
 from quarry.llm.queries import ORACLES, QUERIES
 from quarry.llm.vocab import BYTE_BPE, PIECE_BPE, place
 from tests.conftest import SF
@@ -47,7 +47,7 @@ TABLES = {
     "op8": mixing.mixture_table,
     "op10": line_dedup.line_table,
 }
-STAGES = {"quality": quality.keep_good, "lines": line_dedup.without_repeated_lines, "simhash": simhash.keep_first, "mix": mixing.mixed}
+STAGES = {"quality": quality.keep_good, "lines": line_dedup.without_repeated_lines, "simhash": near_text.keep_first, "mix": mixing.mixed}
 
 
 @pytest.mark.parametrize("name", TABLES)
@@ -227,6 +227,16 @@ def test_simhash(spark, small, corpus):
         assert rows_of(simhash.near_duplicates(table(spark, rows)), "doc_id", "fingerprint", "component_id") == want
 
 
+def test_simhash_links_pass_through_rows_without_an_id(spark, monkeypatch):
+    """1 and 2 are too far from each other; each is within four bits of the fingerprint of a row that has no id."""
+    prints = [(1, 0), (None, 0b1111), (2, 0b11111111), (3, 1 << 40 | 0xFFFFFF), (None, 0xABCDEF << 30)]
+    rows = spark.createDataFrame(prints, "doc_id long, f long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: rows)
+    want = sorted(zip((k for k, _ in prints), brute.components([k for k, _ in prints], [p for _, p in prints]), strict=True), key=repr)
+    assert want[0] == (1, 1) and (2, 1) in want and (None, 1) in want and (None, None) in want
+    assert rows_of(simhash.near_duplicates(table(spark, [])), "doc_id", "component_id") == want
+
+
 def test_simhash_keys_meet():
     """Any two words within four bits share a key, wherever the bits are."""
     import numpy as np
@@ -309,9 +319,30 @@ def test_top_k(spark):
     assert sorted(tuple(r) for r in topk.top_k(few).collect()) == sorted(brute.top_k([(0, [1.0, 2.0]), (1, [0.5, 0.5]), (50, [2.0, 2.0])]))
 
 
+def test_top_k_keeps_repeated_rows(spark):
+    rng = random.Random(4)
+    v = [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(30)]
+    rows = [(0, v[0])] * 9 + [(1, v[1])] * 2 + [(50, v[2]), (50, v[3]), (50, v[3])] + [(100 + i, x) for i, x in enumerate(v)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == sorted(brute.top_k(rows))
+
+
 # --- 10 ---
 
 
+def test_line_dedup_with_one_segment_in_very_many_lines(spark):
+    """5,000 lines that share their first third; the few pairs within two edits are found, the key is split."""
+    rng = random.Random(8)
+    head = "the same words begin this line: "
+    tails = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(64)) for _ in range(5000)]
+    close = {i: edited(rng, tails[i], 2) for i in range(0, 5000, 250)}
+    rows = [(i, head + t) for i, t in enumerate(tails)] + [(10_000 + i, head + t) for i, t in close.items()]
+    gone = {r["doc_id"] for r in line_dedup.line_table(table(spark, rows)).where("n_removed > 0").select("doc_id").collect()}
+    assert gone == {10_000 + i for i in close}
+
+
+
+
 def edited(rng, line, n):
     s = list(line)
     for _ in range(n):
