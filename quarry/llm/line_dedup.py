@@ -29,6 +29,8 @@ ONE, TWO = 16, 32
 MOST = 2
 #: Lines under one key from which the key is split.
 HOT = 1000
+#: A hash without its top bit.
+REST = 2**63 - 1
 
 
 def allowed(length: Column) -> Column:
@@ -55,7 +57,7 @@ def _plan(length: int) -> list[tuple[int, int, int, int, int]]:
 
 
 def line_keys(lines: DataFrame) -> DataFrame:
-    """hp, key for each segment that a line enters or looks up. lines has h, n and b (the line in four bytes a code point); hp is h with its low bit 1 for a look-up.
+    """hp, key for each segment that a line enters or looks up. lines has h, n and b (the line in four bytes a code point); hp is h with its top bit 1 for a look-up.
 
     The plan of a length is a literal, and one small expression makes the key of each of its rows: a line's keys in a single
     expression are too much code for the JVM to compile.
@@ -74,7 +76,8 @@ def line_keys(lines: DataFrame) -> DataFrame:
     at = F.col("i") * F.col("base") + F.greatest(F.col("i") - F.col("short"), F.lit(0)) + F.col("shift")
     size = F.col("base") + (F.col("i") >= F.col("short")).cast("int")
     key = F.xxhash64("m", "i", F.substring("b", 4 * at + 1, 4 * size))
-    return x.select(F.col("h").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("probe").cast("long")).alias("hp"), key.alias("key"))
+        # the mark stands in the last byte of the row's hash: the bytes before it repeat from row to row and compress
+    return x.select(F.col("h").bitwiseAND(F.lit(REST)).bitwiseOR(F.when(F.col("probe") == 1, F.lit(-(2**63))).otherwise(F.lit(0).cast("long"))).alias("hp"), key.alias("key"))
 
 
 def within(a: Column, b: Column, edits: Column) -> Column:
@@ -159,11 +162,11 @@ def near_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
     taken = _at(d, firsts).select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
     line = taken.select(F.explode(F.transform("ps", lambda p: F.get("ls", p))).alias("line"))
     line = line.select(F.xxhash64("line").alias("h"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("b")).where(F.col("n") >= ONE)
-    same, h, probe = Window.partitionBy("key"), F.col("hp").bitwiseAND(F.lit(-2)), F.col("hp").bitwiseAND(F.lit(1))
+    same, h, probe = Window.partitionBy("key"), F.col("hp").bitwiseAND(F.lit(REST)), (F.col("hp") < 0).cast("int")
     keys = line_keys(line).select("hp", "key", F.min(h).over(same).alias("low"), F.max(h).over(same).alias("high"), F.min(probe).over(same).alias("all_probe"))
-    # by the hash without its low bit: should two lines agree in that, they get each other's keys too, which the check refuses
+    # by the hash without its top bit: should two lines agree in that, they get each other's keys too, which the check refuses
     shared = keys.where("low <> high AND all_probe = 0").groupBy(h.alias("h0")).agg(F.collect_set(F.struct("key", (probe == 1).alias("probes"))).alias("keys"))
-    shared = firsts.join(shared, firsts["h1"].bitwiseAND(F.lit(-2)) == F.col("h0")).drop("h0")
+    shared = firsts.join(shared, firsts["h1"].bitwiseAND(F.lit(REST)) == F.col("h0")).drop("h0")
     of = _at(d, shared, "inner", "keys").select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
     of = of.select("doc_id", "rid", F.explode(F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), p["keys"].alias("keys"), F.get("ls", p["pos"]).alias("line")))).alias("x"))
     of = of.select(F.struct(F.struct("doc_id", "rid", "x.pos").alias("o"), *_ids(F.col("x.line"))).alias("at"), F.col("x.line").alias("line"), "x.keys", _chars(F.col("x.line")).alias("c"))
