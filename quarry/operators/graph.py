@@ -38,6 +38,7 @@ def hubs(edges: DataFrame, n: int = 10) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame, depth: int, backwards: bool = False) -> DataFrame:
     """node, distance within `depth` hops of the start nodes (which are left out). A hop is one join with the frontier."""
     step = edges.select(F.col("dst").alias("a"), F.col("src").alias("b")) if backwards else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    step = materialize(step, "step")  # read by each hop, made once
     seen = start.select("node", F.lit(0).alias("distance"))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -73,17 +74,28 @@ def impact(edges: DataFrame, start: DataFrame, depth: int = 4) -> DataFrame:
     return hit.join(deg, "node", "left").select("node", "distance", risk(F.col("distance")).alias("risk"), F.coalesce("dependents", F.lit(0)).cast("long").alias("dependents"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, node: str = "node") -> DataFrame:
-    """node, rank; the mass of nodes without callees is spread over all."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, node: str = "node") -> DataFrame:
+    """node, rank; the mass of nodes without callees is spread over all. Ends when the ranks of a round differ by less than tolerance a node on average, or after `rounds`.
+
+    No nodes: no rows. Edges to or from what isn't a node are ignored.
+    """
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
-    base = nodes.select(F.col(node).alias("node")).join(out, F.col("node") == F.col("src"), "left").select("node", "n_out")
+    base = materialize(nodes.select(F.col(node).alias("node")).join(out, F.col("node") == F.col("src"), "left").select("node", "n_out"), "base")
+    given_by = materialize(edges.repartition("src"), "step")
     n = base.count()
-    ranks = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    ranks = materialize(base.withColumn("rank", F.lit(1.0 / max(n, 1))), "ranks")
     for _ in range(rounds):
-        given = ranks.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
+        given = ranks.join(given_by, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
         loose = ranks.where("n_out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        ranks = base.join(given, F.col("node") == F.col("dst"), "left").select("node", "n_out", (F.lit((1 - damping + damping * loose) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        ranks = materialize(ranks, "graph")
+        new = F.lit((1 - damping + damping * loose) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))
+        moved = ranks.join(given, F.col("node") == F.col("dst"), "left").select("node", "n_out", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))
+        moved = materialize(moved, "ranks")
+        change = moved.agg(F.sum("moved")).first()[0] or 0.0
+        discard(ranks)
+        ranks = moved
+        if change < tolerance * n:
+            break
+    discard(given_by, base)
     return ranks.select("node", "rank")
 
 

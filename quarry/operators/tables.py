@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import discard, materialize
+
 
 def snapshot_diff(old: DataFrame, new: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:
     """path, change of two listings: added, modified or deleted; unchanged paths are left out."""
@@ -53,8 +55,28 @@ def percentile_rows(rows: DataFrame, keys: list[str], value: str, percents: tupl
 
 
 def container_order(rows: DataFrame, path: str = "file", first: str = "start", last: str = "end", rank: str = "rank") -> DataFrame:
-    """Adds position: a row stands after everything it strictly contains in its file."""
-    inner = rows.select(F.col(path).alias("__p"), F.col(first).alias("__a"), F.col(last).alias("__b"), F.col(rank).alias("__r"))
-    inside = (F.col(path) == F.col("__p")) & (F.col(first) <= F.col("__a")) & (F.col("__b") <= F.col(last)) & ((F.col(first) != F.col("__a")) | (F.col(last) != F.col("__b")))
-    held = rows.join(inner, inside, "left").groupBy(*[rows[c] for c in rows.columns]).agg(F.max("__r").alias("__m"))
-    return held.withColumn("position", F.greatest(F.col(rank).cast("double"), F.coalesce(F.col("__m") + 0.5, F.lit(-1.0)))).drop("__m")
+    """Adds position: a row stands half a place after the last-placed of what it strictly contains in its file, level by level.
+
+    Equal ranges don't contain each other. Rows that repeat are rows of their own. A null path or end contains nothing. One round
+    for each level of nesting.
+    """
+    range_ = lambda p: [F.col(path).alias(p + "f"), F.col(first).alias(p + "a"), F.col(last).alias(p + "b")]
+    distinct = rows.groupBy(path, first, last).agg(F.max(F.col(rank).cast("double")).alias("__p"))
+    outer, inner = distinct.select(*range_("o")), distinct.select(*range_("i"))
+    inside = (F.col("of") == F.col("if")) & (F.col("oa") <= F.col("ia")) & (F.col("ib") <= F.col("ob")) & ((F.col("oa") != F.col("ia")) | (F.col("ob") != F.col("ib")))
+    held = materialize(outer.join(inner, inside), "nested")
+    # the place of what a range holds, without its own rank; a row's own rank joins at the end
+    place = materialize(distinct, "place")
+    while True:
+        of = place.select(*range_("p"), F.col("__p").alias("pp"))
+        up = held.join(of, (F.col("if") == F.col("pf")) & (F.col("ia") == F.col("pa")) & (F.col("ib") == F.col("pb"))).groupBy("of", "oa", "ob").agg((F.max("pp") + 0.5).alias("up"))
+        bare = place.drop("up")
+        new = materialize(bare.join(up, bare[path].eqNullSafe(up["of"]) & bare[first].eqNullSafe(up["oa"]) & bare[last].eqNullSafe(up["ob"]), "left").select(path, first, last, F.greatest("__p", "up").alias("__p"), "up"), "place")
+        changed = place.select(F.sum("__p")).first()[0] != new.select(F.sum("__p")).first()[0]
+        discard(place)
+        place = new
+        if not changed:
+            break
+    up = place.select(*range_("p"), "up")
+    out = rows.join(up, rows[path].eqNullSafe(up["pf"]) & rows[first].eqNullSafe(up["pa"]) & rows[last].eqNullSafe(up["pb"]), "left")
+    return out.select(*[rows[c] for c in rows.columns], F.greatest(rows[rank].cast("double"), F.coalesce("up", F.lit(-1.0))).alias("position"))

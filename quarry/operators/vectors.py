@@ -11,7 +11,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """0 where either vector is zero; null where either is null."""
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size == 0, 0.0).otherwise(F.try_divide(dot(a, b), size))
 
 
 def search(vectors: DataFrame, query: list[float], k: int = 30, least: float | None = 0.5, where: Column | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:

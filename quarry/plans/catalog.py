@@ -79,7 +79,7 @@ def delete_by_path(t):
     return d.join(d.where(F.col("source").isin("src0", "src3")).select("source").distinct(), "source", "left_anti").select("doc_id", "source")
 
 
-@query(r"SELECT page_id, list_has_any(string_split(url, '/'), ['node_modules', 'dist', 'build', 'vendor', '.git']) OR regexp_matches(url, '(\.min\.js|\.min\.ts|\.d\.ts)$') AS excluded FROM pages")
+@query(r"SELECT page_id, list_has_any(string_split(url, '/'), ['venv', '.venv', 'env', '__pycache__', 'node_modules', '.git', 'dist', 'build', '.mypy_cache', '.pytest_cache', 'htmlcov', 'migrations']) OR regexp_matches(url, '(\.min\.js|\.min\.ts|\.d\.ts)$') AS excluded FROM pages")
 def excluded_paths(t):
     return t("pages").select("page_id", tx.excluded_path(F.col("url")).alias("excluded"))
 
@@ -92,13 +92,20 @@ def repository_urls(t):
 
 # --- text -------------------------------------------------------------------------------------------------------------
 
-_DECISIONS = " + ".join(f"len(regexp_extract_all(text, '(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])'))" for w in tx.DECISIONS) + r" + len(regexp_extract_all(text, '&&')) + len(regexp_extract_all(text, '\|\|'))"
+#: Every sign that parts words, doubled, so that neighbouring words each keep one: RE2 has no Unicode word boundary.
+_PARTED = r"regexp_replace(text, '([^\p{L}\p{N}_])', '\1\1', 'g')"
+_WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
+
 _RATING = "CASE WHEN c <= 5 THEN 'low' WHEN c <= 10 THEN 'moderate' WHEN c <= 20 THEN 'high' ELSE 'very_high' END"
 
 
-@query(f"SELECT doc_id, greatest(1, 1 + {_DECISIONS})::INT AS complexity FROM documents")
+@query(rf"""WITH w AS (SELECT doc_id, text, lang, {_WORDS} AS w, {_PARTED} AS p FROM documents)
+SELECT doc_id, greatest(1, 1 + len(list_filter(w, lambda x: x IN ('if', 'elif', 'for', 'while', 'except', 'case', 'catch') OR lang = 'en' AND x IN ('and', 'or')))
+  + len(regexp_extract_all(p, '(?:^|[^\p{{L}}\p{{N}}_])else  if(?:$|[^\p{{L}}\p{{N}}_])')) + len(regexp_extract_all(text, '&&')) + len(regexp_extract_all(text, '\|\|')))::INT AS complexity FROM w""")
 def decision_count(t):
-    return t("documents").select("doc_id", F.greatest(F.lit(1), 1 + tx.decision_count(F.col("text"))).alias("complexity"))
+    """English documents stand in for Python sources."""
+    language = F.when(F.col("lang") == "en", "python").otherwise("other")
+    return t("documents").select("doc_id", F.greatest(F.lit(1), 1 + tx.decision_count(F.col("text"), language)).alias("complexity"))
 
 
 @query(f"WITH c AS (SELECT lang, least(40, n_chars // 200)::BIGINT AS c FROM documents) SELECT lang, {_RATING} AS rating, count(*) AS n, round(avg(c), 2) AS mean, max(c) AS most, min(c) AS least FROM c GROUP BY ALL")
@@ -122,7 +129,12 @@ def loc_count(t):
     return t("documents").select("doc_id", tx.lines_of_code(F.col("text")).alias("loc"))
 
 
-@query(r"WITH c AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(regexp_replace(html, '(def|class|function)\s+[A-Za-z_][A-Za-z0-9_]*', ' ', 'g'), '([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1))) AS name FROM pages) SELECT page_id, name FROM c WHERE name NOT IN (" + ", ".join(f"'{w}'" for w in tx.CALL_KEYWORDS) + ")")
+_CALL_WORDS = "'if', 'for', 'while', 'switch', 'catch', 'return', 'print', 'super', 'new', 'async', 'await', 'yield', 'with', 'except', 'elif', 'func', 'function', 'def', 'lambda'"
+
+
+@query(rf"""WITH m AS (SELECT page_id, regexp_replace(html, '(^|[^\p{{L}}\p{{N}}_])(?:(?:def|class|function\*?)\s+[A-Za-z_][A-Za-z0-9_]*|func\s*(?:\([^)]*\)\s*)?[A-Za-z_][A-Za-z0-9_]*)', '\1 ', 'g') AS t FROM pages),
+c AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(t, '([\p{{L}}\p{{N}}_]+)\s*\(', 1))) AS name FROM m)
+SELECT page_id, name FROM c WHERE regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*') AND name NOT IN ({_CALL_WORDS})""")
 def call_names(t):
     return t("pages").select("page_id", F.explode(tx.call_names(F.col("html"))).alias("name"))
 
@@ -132,30 +144,46 @@ def test_paths(t):
     return t("pages").select("page_id", tx.test_path(F.col("url")).alias("is_test"))
 
 
-@query("""WITH q AS (SELECT conv_id, turn, lower(text) AS q FROM conversations)
-SELECT conv_id, turn, CASE WHEN contains(q, 'impact') OR contains(q, 'affect') OR contains(q, 'break') OR contains(q, 'blast') THEN 'impact'
-  WHEN (contains(q, 'chain') OR contains(q, 'path') OR contains(q, 'reach')) AND contains(q, ' to ') THEN 'path'
-  WHEN contains(q, 'depend') OR contains(q, 'what does') THEN 'callees' WHEN contains(q, 'call') OR contains(q, 'invoke') OR contains(q, 'uses') THEN 'callers'
-  ELSE 'callers_and_callees' END AS route FROM q""")
-def query_routing(t):
-    return t("conversations").select("conv_id", "turn", tx.route(F.col("text")).alias("route"))
+_STOP = "'what', 'who', 'which', 'does', 'do', 'calls', 'call', 'calling', 'the', 'a', 'an', 'is', 'are', 'in', 'of', 'to', 'on', 'from', 'function', 'method', 'module', 'class', 'would', 'break', 'if', 'changed', 'change', 'depend', 'depends', 'and', 'or', 'how'"
+_E = r"[^\p{L}\p{N}_]"
+_N = "[A-Za-z_][A-Za-z0-9_]*"
 
 
-_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+def _target_sql(text: str) -> str:
+    """SQL for the target of a question."""
+    p = rf"regexp_replace({text}, '({_E})', '\1\1', 'g')"
+    words = rf"list_filter(regexp_extract_all({text}, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '{_N}') AND length(x) > 2 AND lower(x) NOT IN ({_STOP}) AND NOT list_contains(list_transform(regexp_extract_all({p}, '(?:^|{_E})({_N})\.\.[a-z]{{1,4}}(?:$|{_E})', 1), lambda y: lower(y)), lower(x)))"
+    code = f"list_filter({words}, lambda x: contains(x, '_') OR (regexp_matches(x, '^[A-Z]') AND upper(x) <> x))"
+    return rf"coalesce(regexp_extract_all({p}, '(?:^|{_E})({_N})\s*\(\(\)\)', 1)[-1], regexp_extract_all({p}, '(?:^|{_E})({_N})\s+(?:function|method|class)(?:$|{_E})', 1)[-1], ({code})[-1], ({words})[-1], {text})"
 
 
-@query(rf"""WITH a AS (SELECT conv_id, turn, text, regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\(\)', 1) AS c, regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*) (?:function|method|class)', 1) AS n,
-  list_filter(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)', 1), lambda x: length(x) > 2 AND lower(x) NOT IN ({_STOP})) AS w FROM conversations),
-b AS (SELECT *, list_filter(w, lambda x: contains(x, '_') OR (regexp_matches(x, '^[A-Z]') AND upper(x) <> x)) AS k FROM a)
-SELECT conv_id, turn, coalesce(c[-1], n[-1], k[-1], w[-1], text) AS target FROM b""")
+@query(f"""WITH c AS (SELECT conv_id, turn, text, lower(text) AS q, strpos(text, ' to ') AS k FROM conversations),
+e AS (SELECT *, {_target_sql("substr(text, 1, greatest(k - 1, 0)::INT)")} AS a, {_target_sql("substr(text, k + 4)")} AS b FROM c)
+SELECT conv_id, turn, CASE WHEN contains(q, 'break') OR contains(q, 'impact') OR contains(q, 'blast radius') OR contains(q, 'risky') OR contains(q, 'risk of changing') THEN 'impact'
+  WHEN (contains(q, 'chain') OR contains(q, 'path') OR contains(q, 'reach')) AND contains(q, ' to ') AND k > 0 AND a <> '' AND b <> '' AND a <> b THEN 'path'
+  WHEN contains(q, 'what does') OR contains(q, 'depend on') OR contains(q, 'depends on') OR contains(q, 'does it call') OR contains(q, 'calls what') THEN 'callees'
+  WHEN contains(q, 'call') OR contains(q, 'invoke') OR contains(q, 'uses') OR contains(q, 'used by') THEN 'callers' ELSE 'callers_and_callees' END AS route FROM e""")
+def query_routing(t):
+    return t("conversations").select("conv_id", "turn", tx.route(F.col("text")).alias("route"))
+
+
+@query(f"SELECT conv_id, turn, {_target_sql('text')} AS target FROM conversations")
 def target_extraction(t):
     return t("conversations").select("conv_id", "turn", tx.target(F.col("text")).alias("target"))
 
 
-@query(r"WITH a AS (SELECT conv_id, turn, list_distinct(regexp_extract_all('see [src/a.py:10-20] and [b/c.js L3] ' || text, '\[([A-Za-z0-9_./-]+)[: ]+L?[0-9]+ *[-–]? *L?[0-9]*\]', 1)) AS p FROM conversations) SELECT conv_id, turn, len(p)::INT AS n_cited, list_contains(p, 'src/a.py') AS cites_a FROM a")
+@query(r"""WITH a AS (SELECT conv_id, turn, ['src/m' || (turn % 3) || '.py', 'lib/x.go', 'tests/t.py'] AS paths, CASE conv_id % 8
+    WHEN 0 THEN text || ' [src/m0.py:A.run:L3-L9]' WHEN 1 THEN '【src/m1.py:run:3-9】' || text WHEN 2 THEN text || ' `lib/x.go:F:1–2`' WHEN 3 THEN text || ' (src/m2.py:B.go:L1 - L2), [ lib/x.go:G:4-5 ]'
+    WHEN 4 THEN text || ' [src/m0.py:L3-L9]' WHEN 5 THEN text || ' src/m1.py:A:1-2' ELSE text END AS answer FROM conversations),
+c AS (SELECT *, regexp_extract_all(answer, '[\[【`(]\s*([^\[\]【】`()\s:]+):[^\[\]【】`():]+:L?\d+\s*[-–]\s*L?\d+\s*[\]】`)]', 1) AS p FROM a)
+SELECT conv_id, turn, len(list_distinct(p))::INT AS n_cited, len(list_filter(paths, lambda x: list_contains(p, x)))::INT AS sources_used FROM c""")
 def citation_count(t):
-    p = tx.cited(F.concat(F.lit("see [src/a.py:10-20] and [b/c.js L3] "), "text"))
-    return t("conversations").select("conv_id", "turn", F.size(p).alias("n_cited"), F.array_contains(p, "src/a.py").alias("cites_a"))
+    """Texts with citations in every form, in a form that isn't one, and without."""
+    x, k = F.col("text"), F.col("conv_id") % 8
+    made = {0: F.concat(x, F.lit(" [src/m0.py:A.run:L3-L9]")), 1: F.concat(F.lit("【src/m1.py:run:3-9】"), x), 2: F.concat(x, F.lit(" `lib/x.go:F:1–2`")), 3: F.concat(x, F.lit(" (src/m2.py:B.go:L1 - L2), [ lib/x.go:G:4-5 ]")), 4: F.concat(x, F.lit(" [src/m0.py:L3-L9]")), 5: F.concat(x, F.lit(" src/m1.py:A:1-2"))}
+    answer = F.coalesce(*[F.when(k == i, a) for i, a in made.items()], x)
+    paths = F.array(F.concat(F.lit("src/m"), (F.col("turn") % 3).cast("string"), F.lit(".py")), F.lit("lib/x.go"), F.lit("tests/t.py"))
+    return t("conversations").select("conv_id", "turn", F.size(tx.cited(answer)).alias("n_cited"), tx.sources_used(answer, paths).alias("sources_used"))
 
 
 # --- call graph -------------------------------------------------------------------------------------------------------
@@ -201,7 +229,7 @@ def entry_points(t):
 
 @query(f"WITH {_EDGES} SELECT (SELECT count(*) FROM part) AS nodes, count(*) AS edges, round(count(*) / (SELECT count(*) FROM part)::DOUBLE, 6) AS mean_in_degree FROM e")
 def graph_stats(t):
-    return _nodes(t).agg(count("nodes")).crossJoin(_edges(t).agg(count("edges"))).select("nodes", "edges", F.round(F.col("edges") / F.col("nodes"), 6).alias("mean_in_degree"))  # two single rows
+    return _nodes(t).agg(count("nodes")).crossJoin(_edges(t).agg(count("edges"))).select("nodes", "edges", F.round(F.try_divide("edges", "nodes"), 6).alias("mean_in_degree"))  # two single rows
 
 
 def _bfs(a: str, b: str, depth: int) -> str:
@@ -234,16 +262,10 @@ def distance_scores(t):
     return graph.reach(_edges(t), _start(t), 3, backwards=True).withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - 0.2 * (d - 1)), 6))
 
 
-def _rank_sql(rounds: int) -> str:
-    parts = [f"WITH {_EDGES}, n AS (SELECT p_partkey AS node FROM part), c AS (SELECT count(*)::DOUBLE AS c FROM n), o AS (SELECT src, count(*)::DOUBLE AS k FROM e GROUP BY src), r0 AS (SELECT node, 1 / c AS r FROM n, c)"]
-    for i in range(rounds):
-        parts.append(f"r{i + 1} AS (SELECT n.node, (0.15 + 0.85 * (SELECT coalesce(sum(r), 0) FROM r{i} WHERE node NOT IN (SELECT src FROM o))) / c + 0.85 * coalesce(g, 0) AS r FROM n CROSS JOIN c LEFT JOIN (SELECT dst, sum(r / k) AS g FROM e JOIN o USING (src) JOIN r{i} ON r{i}.node = e.src GROUP BY dst) x ON x.dst = n.node)")
-    return ", ".join(parts) + f" SELECT node, round(r, 7) AS rank FROM r{rounds}"
-
-
-@query(_rank_sql(5))
+@query()
 def pagerank(t):
-    return graph.pagerank(_nodes(t), _edges(t), 5).select("node", F.round("rank", 7).alias("rank"))
+    """To convergence, which no fixed number of unrolled rounds expresses; tests/test_call_graph.py holds it against plain Python."""
+    return graph.pagerank(_nodes(t), _edges(t)).select("node", F.round("rank", 7).alias("rank"))
 
 
 @query("WITH " + _EDGES + """, n AS (SELECT p_partkey::VARCHAR AS node, lower(p_name) AS name FROM part), b AS (SELECT node, CASE WHEN node = '77' THEN 1 WHEN name = '77' THEN 3 WHEN starts_with(name, '77') THEN 4 WHEN contains(node, '77') THEN 5 END AS bucket FROM n)
@@ -258,7 +280,8 @@ def node_resolution(t):
 
 
 def _query_vector(t, low: int = 0, high: int = 64):
-    return t("embeddings").where("vec_id = 0").select("embedding").first()[0][low:high]
+    row = t("embeddings").where("vec_id = 0").select("embedding").first()
+    return row[0][low:high] if row and row[0] else [0.0] * (high - low)  # without a query, nothing is near
 
 
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM embeddings, q WHERE label < 8 AND vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 30")
@@ -320,8 +343,10 @@ def confidence_bands(t):
     return t("embeddings").select("vec_id", tx.band(F.get("embedding", F.lit(0)).cast("double") * 4).alias("band"))
 
 
-@query("""WITH r AS (SELECT n_regionkey AS file, n_nationkey AS rank, n_nationkey % 5 * 10 AS "start", n_nationkey % 5 * 10 + 5 + n_nationkey % 7 * 4 AS "end" FROM nation)
-SELECT a.file, a.rank, a."start", a."end", greatest(a.rank::DOUBLE, coalesce(max(b.rank) + 0.5e0, -1)) AS position FROM r a LEFT JOIN r b ON a.file = b.file AND a."start" <= b."start" AND b."end" <= a."end" AND (a."start" <> b."start" OR a."end" <> b."end") GROUP BY a."end", a."start", a.rank, a.file""")
+@query("""WITH RECURSIVE r AS (SELECT n_regionkey AS file, n_nationkey AS rank, n_nationkey % 5 * 10 AS a, n_nationkey % 5 * 10 + 5 + n_nationkey % 7 * 4 AS b FROM nation),
+h AS (SELECT o.rank AS o, i.rank AS i FROM r o JOIN r i ON o.file = i.file AND o.a <= i.a AND i.b <= o.b AND (o.a <> i.a OR o.b <> i.b)),
+c AS (SELECT rank AS o, rank AS i, 0 AS n FROM r UNION SELECT c.o, h.i, n + 1 FROM c JOIN h ON c.i = h.o)
+SELECT file, rank, a AS "start", b AS "end", max(c.i + 0.5e0 * n) AS position FROM r JOIN c ON c.o = r.rank GROUP BY ALL""")
 def containment_order(t):
     k = F.col("n_nationkey")
     return tables.container_order(t("nation").select(F.col("n_regionkey").alias("file"), k.alias("rank"), (k % 5 * 10).alias("start"), (k % 5 * 10 + 5 + k % 7 * 4).alias("end")))
@@ -357,10 +382,18 @@ def eval_aggregate(t):
     return t("events").rollup("event_type").agg(count(), F.count_if(F.col("value") > 50).alias("n_good"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.count_if(F.col("value") > 50) / F.count(F.lit(1)), 4).alias("rate"))
 
 
-@query("SELECT d.lang, count(*) AS n, sum(CASE WHEN (n_chars >= 1000) = (quality = 1) THEN 1 ELSE 0 END)::BIGINT AS hits FROM labels JOIN documents d USING (doc_id) GROUP BY d.lang")
+@query("""WITH l AS (SELECT l_orderkey AS q, l_partkey AS p, l_suppkey AS s, l_extendedprice AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem),
+g AS (SELECT q, arg_max('Part_' || p || '.py', (x, p, s)) AS file, arg_max('Supplier.run' || s, (x, p, s)) AS fn, CASE WHEN q % 3 = 0 THEN 'summarization' ELSE 'lookup' END AS kind FROM l GROUP BY q),
+h AS (SELECT g.q, kind, coalesce(max(CASE WHEN k <= 5 AND contains('src/part_' || p || '.py', lower(file)) AND (kind = 'summarization' OR contains('run' || s, lower(fn)) OR contains(lower(fn), 'run' || s) OR contains('run' || s, 'run' || split_part(lower(fn), 'run', 2))) THEN 1 ELSE 0 END), 0) AS hit FROM g JOIN l ON g.q = l.q GROUP BY g.q, kind)
+SELECT kind, count(*) AS n, sum(hit)::BIGINT AS hits FROM h GROUP BY kind""")
 def hit_rate(t):
-    hit = F.when((F.col("n_chars") >= 1000) == (F.col("quality") == 1), 1).otherwise(0)
-    return t("documents").join(t("labels"), "doc_id").groupBy("lang").agg(count(), F.sum(hit).alias("hits"))
+    """Orders stand in for questions, their lines for ranked sources, the dearest line for the expected place."""
+    s = F.col("s")
+    line = t("lineitem").select(F.col("l_orderkey").alias("q"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("o"), F.concat(F.lit("src/part_"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("file_path"), F.concat(F.lit("run"), F.col("l_suppkey").cast("string")).alias("function_name"), F.struct("l_extendedprice", "l_partkey", "l_suppkey").alias("w"))
+    by = line.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("o", "file_path", "function_name"))).alias("s"), F.max("w").alias("w"))
+    kind = F.when(F.col("q") % 3 == 0, "summarization").otherwise("lookup")
+    hit = tx.hit_at(s, F.concat(F.lit("Part_"), F.col("w.l_partkey").cast("string"), F.lit(".py")), F.concat(F.lit("Supplier.run"), F.col("w.l_suppkey").cast("string")), F.col("kind"))
+    return by.withColumn("kind", kind).withColumn("hit", hit).groupBy("kind").agg(count(), F.count_if("hit").alias("hits"))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)

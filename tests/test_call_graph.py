@@ -90,3 +90,17 @@ def test_stub_nodes_are_the_parts_without_a_vector(spark, tmp_path):
     spark.createDataFrame([(3,), (7,), (50,)], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.createDataFrame([(3,), (6,), (7,), (9,), (12,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted(tuple(r) for r in catalog.QUERIES["stub_nodes"](spark, str(tmp_path)).collect()) == [(6,), (9,)]
+
+
+def test_pagerank_has_converged(spark, edges, parts):
+    nodes, out, step = sorted(parts.p_partkey), Counter(a for a, _ in edges), defaultdict(list)
+    for a, b in edges:
+        step[b].append(a)
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(100):
+        loose = sum(r for n, r in rank.items() if not out[n])
+        rank, old = {n: (0.15 + 0.85 * loose) / len(nodes) + 0.85 * sum(rank[a] / out[a] for a in step[n]) for n in nodes}, rank
+        if sum(abs(rank[n] - old[n]) for n in nodes) < 1e-6 * len(nodes):
+            break
+    got = dict(run(spark, "pagerank"))
+    assert set(got) == set(nodes) and all(abs(got[n] - rank[n]) < 1e-6 for n in nodes)

@@ -12,7 +12,7 @@ from tests.compare import same
 from tests.conftest import ROOT, SF
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+@pytest.mark.parametrize("name", catalog.ORACLES)
 def test_sql(spark, duck, name):
     same(catalog.QUERIES[name](spark, SF).toPandas(), duck.execute(catalog.ORACLES[name]).df())
 
