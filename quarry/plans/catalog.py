@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import graph, tables, vectors
+from quarry.operators import chunks, clusters, graph, impact, retrieval, tables, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +114,15 @@ def complexity_rating_rollup(t):
     return d.groupBy("lang", tx.rating(F.col("c")).alias("rating")).agg(count(), F.round(F.avg("c"), 2).alias("mean"), F.max("c").alias("most"), F.min("c").alias("least"))
 
 
+@query("""WITH c AS (SELECT doc_id::VARCHAR AS name, least(40, n_chars // 200)::BIGINT AS c, n_chars FROM documents),
+h AS (SELECT list(name ORDER BY c DESC, name) AS names FROM (SELECT * FROM c WHERE c > 10 ORDER BY c DESC, name LIMIT 10))
+SELECT count(*) AS n, coalesce(round(avg(c), 2), 0) AS mean, max(c) AS max, min(c) AS min, sum(n_chars)::BIGINT AS loc, count(*) FILTER (WHERE c <= 5) AS low, count(*) FILTER (WHERE c > 5 AND c <= 10) AS moderate, count(*) FILTER (WHERE c > 10 AND c <= 20) AS high,
+ count(*) FILTER (WHERE c > 20) AS very_high, array_to_string(any_value(names), ',') AS high_names FROM c, h""")
+def complexity_rollup(t):
+    d = t("documents").select(F.col("doc_id").cast("string").alias("name"), F.least(F.lit(40), F.floor(F.col("n_chars") / 200)).cast("long").alias("complexity"), F.col("n_chars").alias("loc"))
+    return chunks.rollup(d).withColumn("high_names", F.array_join("high_names", ","))
+
+
 @query("SELECT source, count(*) AS total, count(DISTINCT lang) AS languages, round(avg(n_chars), 2) AS mean_chars, count(*) FILTER (WHERE n_chars < 500) AS small, round(100.0 * count(*) FILTER (WHERE n_chars < 500) / count(*), 1)::DOUBLE AS small_percent FROM documents GROUP BY source")
 def chunk_summary(t):
     return t("documents").groupBy("source").agg(count("total"), F.countDistinct("lang").alias("languages"), F.round(F.avg("n_chars"), 2).alias("mean_chars"), F.count_if(F.col("n_chars") < 500).alias("small"), F.round(100.0 * F.count_if(F.col("n_chars") < 500) / F.count(F.lit(1)), 1).alias("small_percent"))
@@ -262,6 +271,51 @@ def distance_scores(t):
     return graph.reach(_edges(t), _start(t), 3, backwards=True).withColumn("score", F.round(F.greatest(F.lit(0.0), 1 - 0.2 * (d - 1)), 6))
 
 
+@query(_bfs("dst", "src", 3) + " SELECT node, distance, CASE WHEN distance = 1 THEN 'direct_caller' ELSE 'indirect_caller' END AS relationship, CASE WHEN distance = 1 THEN 'high' WHEN distance <= 3 THEN 'medium' ELSE 'low' END AS level FROM m WHERE distance > 0")
+def labelled_callers(t):
+    d = F.col("distance")
+    return graph.reach(_edges(t), _start(t), 3, backwards=True).select("node", "distance", impact.directness(d).alias("relationship"), impact.other_scale(d).alias("level"))
+
+
+@query(_bfs("dst", "src", 5) + " SELECT node, distance FROM m WHERE distance > 0")
+def blast_radius(t):
+    return graph.reach(_edges(t), _start(t), 5, backwards=True)
+
+
+@query(_bfs("src", "dst", 3) + ' SELECT node, distance, row_number() OVER (PARTITION BY distance ORDER BY node)::INT AS place, count(*) OVER (PARTITION BY distance) AS "of" FROM m WHERE distance > 0')
+def hop_rings(t):
+    return impact.rings(graph.reach(_edges(t), _start(t), 3))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT 1::BIGINT AS node, 0 AS distance UNION SELECT e.src, distance + 1 FROM b JOIN e ON e.dst = b.node WHERE distance < 3),
+f AS (SELECT 1::BIGINT AS node, 0 AS distance UNION SELECT e.dst, distance + 1 FROM f JOIN e ON e.src = f.node WHERE distance < 2)
+SELECT node, min(distance)::INT AS distance, round(greatest(0.0, 1 - 0.2 * (min(distance) - 1)), 6)::DOUBLE AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM f) WHERE node <> 1 GROUP BY node""")
+def merged_traversals(t):
+    e, s = _edges(t), _start(t)
+    both = graph.reach(e, s, 3, backwards=True).unionByName(graph.reach(e, s, 2))
+    return impact.nearest(both).withColumn("score", F.round(retrieval.distance_score(F.col("distance")), 6))
+
+
+@query(f"WITH {_EDGES}, n AS (SELECT count(*) - 1 AS n FROM part), i AS (SELECT dst, count(*) AS i FROM e GROUP BY dst), o AS (SELECT src, count(*) AS o FROM e GROUP BY src) SELECT p_partkey AS node, round(coalesce(i, 0) / n::DOUBLE, 6) AS in_centrality, round(coalesce(o, 0) / n::DOUBLE, 6) AS out_centrality FROM part CROSS JOIN n LEFT JOIN i ON dst = p_partkey LEFT JOIN o ON src = p_partkey")
+def degree_centrality(t):
+    return impact.degree_centrality(_nodes(t), _edges(t))
+
+
+@query(f"WITH {_EDGES}, i AS (SELECT dst, count(*) AS i FROM e GROUP BY dst) SELECT p_partkey AS node, coalesce(i, 0) >= 5 OR coalesce(p_size, 0) >= 10 AS high_risk FROM part LEFT JOIN i ON dst = p_partkey")
+def high_risk(t):
+    callers = _edges(t).groupBy(F.col("dst").alias("d")).agg(count("i"))
+    return t("part").join(callers, F.col("p_partkey") == F.col("d"), "left").select(F.col("p_partkey").alias("node"), impact.is_high_risk(F.col("i"), F.col("p_size")).alias("high_risk"))
+
+
+@query(f"""WITH {_EDGES}, n AS (SELECT p_partkey AS node, p_brand AS file_path, p_size < 20 AS is_test FROM part),
+m AS (SELECT s.node AS seed, 'direct_caller' AS relationship, o.node, o.is_test, o.file_path <> s.file_path AS far FROM n s JOIN e ON e.dst = s.node JOIN n o ON o.node = e.src WHERE s.node <= 3
+  UNION ALL SELECT s.node, 'direct_callee', o.node, o.is_test, o.file_path <> s.file_path FROM n s JOIN e ON e.src = s.node JOIN n o ON o.node = e.dst WHERE s.node <= 3)
+SELECT * FROM (SELECT seed, node, relationship, row_number() OVER (PARTITION BY seed, relationship ORDER BY is_test, far, node)::INT AS place FROM m) WHERE place <= 4""")
+def seed_neighbours(t):
+    nodes = t("part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("file_path"), (F.col("p_size") < 20).alias("is_test"))
+    return retrieval.neighbours(_edges(t), nodes, nodes.where("node <= 3").select("node"), True)
+
+
 @query()
 def pagerank(t):
     """To convergence, which no fixed number of unrolled rounds expresses; tests/test_call_graph.py holds it against plain Python."""
@@ -318,6 +372,15 @@ def outliers(t):
     return vectors.outliers(t("embeddings"))
 
 
+@query("""WITH m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label), d AS (SELECT vec_id, label, list_distance(embedding::DOUBLE[], c) AS d FROM embeddings JOIN c USING (label)),
+s AS (SELECT label, CASE WHEN count(*) = 1 THEN 1.0 ELSE greatest(stddev_pop(d), 1e-8) END AS s FROM d GROUP BY label), z AS (SELECT vec_id, label, round(d / s, 4) AS z FROM d JOIN s USING (label))
+SELECT vec_id, label AS cluster, z, CASE WHEN z >= 4 THEN 'severe' WHEN z >= 3 THEN 'moderate' ELSE 'minor' END AS severity, round(0.7e0 * 0.5 + 0.3e0 * least(1.0, z / 5), 6) AS score FROM z WHERE z > 2""")
+def outlier_severity(t):
+    placed = clusters.with_distance(t("embeddings").select("vec_id", F.col("label").alias("cluster"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")))
+    return clusters.outliers(placed, "vec_id").withColumn("score", F.round(clusters.analytical_score(F.lit(0.5), F.col("z")), 6))
+
+
 @query("WITH g AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 1) SELECT doc_id, lang FROM documents WHERE lang IN (SELECT lang FROM g)")
 def dominant_language(t):
     top = t("documents").groupBy("lang").agg(count()).orderBy(F.desc("n"), "lang").limit(1)
