@@ -5,7 +5,8 @@ SimHash fingerprints of the five-word shingles come first: those within four bit
 affordable number of keys covers, so links that fingerprints can't see are completed exactly: in any one order of all shingles,
 two sets of that similarity share one of the first n // 5 + 1 of each; those are the keys. Shingles that a sample sees often
 stand last in the order, so that common passages are seldom keys; the sample decides how many candidates there are, never what
-is linked. Each set first meets the head of its key and its neighbour by size, then those of its keys that are still apart.
+is linked. Each set first meets two of those that its fingerprint links it to and two of those of its keys (a head and a
+neighbour by size), so that large groups of near copies are joined by few pairs; then all those of its keys that are still apart.
 
 What leaves for verification is small first: 1024 parities of the hashes of a set. Two sets differ in at least as many elements
 as their parities do, so pairs whose parities differ in more than (n + m) / 9 are no links. Only the others fetch their sets.
@@ -134,13 +135,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = materialize(rows.groupBy("g").agg(F.min("doc_id").alias("first"), F.first("f").alias("f")).where("first IS NOT NULL"), "firsts")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     keys = materialize(shared_keys(texts, common), "keys")
-    seen = materialize(links(firsts.groupBy("f").agg(F.min("first").alias("first"))), "seen")
+    seen = links(firsts.groupBy("f").agg(F.min("first").alias("first"))).groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y"))
+    seen = materialize(seen.select(F.explode(F.array("x", "y")).alias("a"), "b").distinct(), "seen")
     ids = keys.select(F.col("first").alias("doc_id")).unionByName(seen.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
     held = materialize(sets(texts.join(ids, "doc_id", "left_semi")), "sets")
+    # a set meets two others at most in this step, whatever the number of its keys: what is still apart then is met in full below
     order = Window.partitionBy("key").orderBy("n", "first")
-    near_by = F.array(F.lag(F.struct("first", "n")).over(order), F.first(F.struct("first", "n")).over(order))
-    met = keys.select("first", "n", near_by.alias("by")).select("first", "n", F.explode("by").alias("x")).where("4 * n <= 5 * x.n AND x.first <> first")
-    met = met.select(F.least("first", "x.first").alias("a"), F.greatest("first", "x.first").alias("b"))
+    fits = lambda x: F.when(4 * F.col("n") <= 5 * x["n"], x["first"])
+    by = keys.select("first", "n", F.first(F.struct("first", "n")).over(order).alias("head"), F.lag(F.struct("first", "n")).over(order).alias("next"))
+    by = by.groupBy("first").agg(F.min(fits(F.col("head"))).alias("x"), F.max(fits(F.col("next"))).alias("y"))
+    met = by.select("first", F.explode(F.array("x", "y")).alias("z")).where("z <> first").select(F.least("first", "z").alias("a"), F.greatest("first", "z").alias("b"))
     joined = materialize(verified(seen.unionByName(met), held), "near")
     found = components(joined).select(F.col("node").alias("first"), "component")
     apart = keys.join(found, "first", "left").select("key", "first", "n", F.coalesce("component", "first").alias("label"))
