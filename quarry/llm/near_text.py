@@ -4,12 +4,13 @@ SimHash fingerprints of the five-word shingles come first: those within four bit
 (quarry/llm/simhash.py), and each link is verified on the sets. Sets at a similarity near 4/5 often differ in more bits than any
 affordable number of keys covers, so links that fingerprints can't see are completed exactly: in any one order of all shingles,
 two sets of that similarity share one of the first n // 5 + 1 of each; those are the keys. Shingles that a sample sees often
-stand last in the order, so that common passages are seldom keys; the sample decides how many candidates there are, never what
-is linked. Each set first meets two of those that its fingerprint links it to and two of those of its keys (a head and a
+stand last in the order, so that common passages are seldom keys; the sample is a share of the rows, so that candidates grow
+with the rows and not with their square. It decides how many candidates there are, never what is linked. Each set first meets two of those that its fingerprint links it to and two of those of its keys (a head and a
 neighbour by size), so that large groups of near copies are joined by few pairs; then all those of its keys that are still apart.
 
-What leaves for verification is small first: 1024 parities of the hashes of a set. Two sets differ in at least as many elements
-as their parities do, so pairs whose parities differ in more than (n + m) / 9 are no links. Only the others fetch their sets.
+What leaves for verification is small first: parities of the hashes of a set, a bit or two for each element, so that they tell
+large sets apart as well as small ones. Two sets differ in at least as many elements as their parities do, so pairs whose
+parities differ in more than (n + m) / 9 are no links. Only the sets of the others are made, from their texts.
 
 Equal sets are joined before. Wordless texts are equal; null ids link nothing. Repeated ids are linked as one document.
 """
@@ -27,8 +28,11 @@ from quarry.llm.components import components
 from quarry.llm.simhash import fingerprint, links
 from quarry.storage import discard, materialize
 
-WORDS, SAMPLE, OFTEN = 5, 4000, 3
-PARITIES = 1024
+WORDS, OFTEN = 5, 3
+#: The sample that tells which shingles are common: at least so many rows, and one in so many; how many shingles it names at most.
+SAMPLE, ONE_IN, NAMED = 4000, 16, 500_000
+#: Parities that a set has at least.
+LEAST = 64
 
 
 def shingles(text: str) -> np.ndarray:
@@ -39,7 +43,7 @@ def shingles(text: str) -> np.ndarray:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    every = max(1, docs.count() // SAMPLE)
+    every = min(ONE_IN, max(1, docs.count() // SAMPLE))
 
     def run(batches):
         for batch in batches:
@@ -47,8 +51,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t))], names=["s"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text").mapInArrow(run, "s long")
-    often = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(100_000)
-    return np.sort(np.array([r[0] for r in often.select("s").collect()], np.int64))
+    often = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "s").limit(NAMED)
+    return np.sort(often.select("s").toArrow().column(0).to_numpy())
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -71,7 +75,8 @@ def shared_keys(texts: DataFrame, common: np.ndarray) -> DataFrame:
             for first, t in texts_of([batch]):
                 s = shingles(t)
                 if len(s):
-                    key = np.concatenate([s[~(hot := np.isin(s, common, assume_unique=True))], s[hot]])[: len(s) // 5 + 1]
+                    hot = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+                    key = np.concatenate([s[~hot], s[hot]])[: len(s) // 5 + 1]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), first)), pa.array(np.full(len(key), len(s), np.int32))], schema=out)
 
     keyed = texts.mapInArrow(spread, "key long, first long, n int")
@@ -80,52 +85,74 @@ def shared_keys(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return keyed.where("low <> high").select("key", "first", "n").distinct()
 
 
-def sets(texts: DataFrame) -> DataFrame:
-    """doc_id, n, parity (1024 bits), s (the set, as bytes)."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("s", pa.binary())])
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each class of hashes that agree in their low bits: whether their number is odd. There are at least as many classes as hashes."""
+    size = max(LEAST, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount(s & (size - 1), minlength=size) & 1 == 1).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Parities that differ; the longer row is folded to the length of the shorter, as its sums are those of fewer classes."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, size)) for v in (x, y))
+    return int.from_bytes((x ^ y).tobytes(), "little").bit_count()
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """doc_id, n (the size of the set), x (its parities)."""
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
 
     def run(batches):
-        def rows():
-            for k, t in texts_of(batches):
-                s = shingles(t)
-                odd = np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1
-                yield k, len(s), np.packbits(odd.astype(bool)).tobytes(), s.tobytes()
+        rows = ((k, len(s), parity(s)) for k, s in ((k, shingles(t)) for k, t in texts_of(batches)))
+        yield from batched(rows, out, 1000, 4_000_000)
+
+    return texts.mapInArrow(run, "doc_id long, n long, x binary")
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """doc_id, n, x (the set, as bytes)."""
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("x", pa.binary())])
 
-        yield from batched(rows(), out, 1000, 4_000_000)
+    def run(batches):
+        rows = ((k, len(s), s.tobytes()) for k, s in ((k, shingles(t)) for k, t in texts_of(batches)))
+        yield from batched(rows, out, 1000, 4_000_000)
 
-    return texts.mapInArrow(run, "doc_id long, n long, parity binary, s binary")
+    return texts.mapInArrow(run, "doc_id long, n long, x binary")
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity. held has the sets of all that stand in pairs."""
+def checked(pairs: DataFrame, held: DataFrame, near) -> DataFrame:
+    """The pairs (a, b) for which near(n of a, n of b, x of a, x of b) holds. held has doc_id, n and x of all that stand in pairs."""
     edge = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for c in "ab":
+        pairs = pairs.join(held.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("x").alias("x" + c)), c)
 
-    def both(pairs: DataFrame, what: str) -> DataFrame:
-        for c in "ab":
-            pairs = pairs.join(held.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col(what).alias("x" + c)), c)
-        return pairs.select("a", "b", "na", "nb", "xa", "xb")
+    def run(batches):
+        rows = ((a.as_py(), b.as_py()) for batch in batches for a, b, *x in zip(*batch.columns, strict=True) if near(*(v.as_py() for v in x)))
+        yield from batched(rows, edge, 10_000)
+
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
+def may_be_near(na: int, nb: int, x: bytes, y: bytes) -> bool:
+    return 9 * differing(x, y) <= na + nb
+
+
+def near(na: int, nb: int, x: bytes, y: bytes) -> bool:
+    shared = len(np.intersect1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True))
+    return 9 * shared >= 4 * (na + nb)
 
-    def may(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                n = part.column(2).to_numpy() + part.column(3).to_numpy()
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (4, 5))
-                ok = 9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= n
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], schema=edge)
 
-    def near(batches):
-        def rows():
-            for batch in batches:
-                for a, b, na, nb, x, y in zip(*(batch.column(c) for c in range(6)), strict=True):
-                    shared = len(np.intersect1d(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64), assume_unique=True))
-                    if 9 * shared >= 4 * (na.as_py() + nb.as_py()):
-                        yield a.as_py(), b.as_py()
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-        yield from batched(rows(), edge, 10_000)
 
-    close = both(pairs.where("a <> b").distinct(), "parity").mapInArrow(may, "a long, b long").distinct()
-    return both(close, "s").mapInArrow(near, "a long, b long").distinct()
+def verified(pairs: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, as a table. held has the parities of all that stand in pairs; what they leave fetches its sets."""
+    close = materialize(checked(pairs.where("a <> b").distinct(), held, may_be_near), "close")
+    whole = materialize(sets(texts.join(ids_of(close), "doc_id", "left_semi")), "sets")
+    found = materialize(checked(close, whole, near), "near")
+    discard(close, whole)
+    return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -137,22 +164,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = materialize(shared_keys(texts, common), "keys")
     seen = links(firsts.groupBy("f").agg(F.min("first").alias("first"))).groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y"))
     seen = materialize(seen.select(F.explode(F.array("x", "y")).alias("a"), "b").distinct(), "seen")
-    ids = keys.select(F.col("first").alias("doc_id")).unionByName(seen.select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct()
-    held = materialize(sets(texts.join(ids, "doc_id", "left_semi")), "sets")
+    ids = keys.select(F.col("first").alias("doc_id")).unionByName(ids_of(seen)).distinct()
+    held = materialize(parities(texts.join(ids, "doc_id", "left_semi")), "parities")
     # a set meets two others at most in this step, whatever the number of its keys: what is still apart then is met in full below
     order = Window.partitionBy("key").orderBy("n", "first")
     fits = lambda x: F.when(4 * F.col("n") <= 5 * x["n"], x["first"])
     by = keys.select("first", "n", F.first(F.struct("first", "n")).over(order).alias("head"), F.lag(F.struct("first", "n")).over(order).alias("next"))
     by = by.groupBy("first").agg(F.min(fits(F.col("head"))).alias("x"), F.max(fits(F.col("next"))).alias("y"))
     met = by.select("first", F.explode(F.array("x", "y")).alias("z")).where("z <> first").select(F.least("first", "z").alias("a"), F.greatest("first", "z").alias("b"))
-    joined = materialize(verified(seen.unionByName(met), held), "near")
+    joined = verified(seen.unionByName(met), held, texts)
     found = components(joined).select(F.col("node").alias("first"), "component")
     apart = keys.join(found, "first", "left").select("key", "first", "n", F.coalesce("component", "first").alias("label"))
     same = Window.partitionBy("key")
     apart = apart.select("*", F.min("label").over(same).alias("low"), F.max("label").over(same).alias("high")).where("low <> high")
     x, y = (apart.select("key", F.col("first").alias(c), F.col("n").alias("n" + c), F.col("label").alias("l" + c)) for c in "ab")
     more = x.join(y, "key").where("a < b AND la <> lb AND 4 * na <= 5 * nb AND 4 * nb <= 5 * na").select("a", "b")
-    more = materialize(verified(more, held), "near")
+    more = verified(more, held, texts)
     found = materialize(components(joined.unionByName(more)).select(F.col("node").alias("first"), "component"), "found")
     discard(keys, seen, held, joined, more)
     of_set = firsts.join(found, "first", "left").select(F.col("g").alias("h"), F.coalesce("component", "first").alias("component_id"))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 MARK = "quarry-"
+#: Whether Spark deletes the shuffle files of a query when it ends, not when the driver's garbage is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder. Delete it with discard() when nothing reads it any more."""
+    """The frame as a Parquet table in the shared folder, without the shuffle files that made it. Delete it with discard() when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{MARK}{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
+
+import numpy as np
 
 import corpus_pipeline
+from quarry.llm import near_text
+from quarry.storage import discard, materialize
 from tests.llm.docs import mixed_rows, table
 
 
@@ -43,3 +49,38 @@ def test_near_copies_are_all_found(spark):
     label = components(rows)
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table(spark, rows), "").select("doc_id").collect()}
     assert got == {k for k in label if label[k] == k} | {None}
+
+
+def test_parities_tell_large_sets_apart():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-(2**63), 2**63 - 1, n)) for n in (5, 70, 9000, 11000)]
+    sets.append(np.unique(np.concatenate([sets[2][: len(sets[2]) // 2], sets[3][:4000]])))
+    sets += [np.sort(s[: len(s) - len(s) // 12]) for s in sets]
+    refused = 0
+    for x in sets:
+        for y in sets:
+            may = near_text.may_be_near(len(x), len(y), near_text.parity(x), near_text.parity(y))
+            is_near = near_text.near(len(x), len(y), x.tobytes(), y.tobytes())
+            assert may or not is_near
+            refused += not may
+            if min(len(x), len(y)) > 2000:
+                assert may == is_near
+    assert refused
+    assert near_text.differing(near_text.parity(sets[3]), near_text.parity(sets[3])) == 0
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in top for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before = files()
+    out = materialize(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count().repartition(3, "k"), "test")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert out.count() == 7
+    discard(out)
