@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a hash-compared suffix sort.
+"""Removal of repeated byte strings by a suffix sort.
 
 A byte goes if a string of WINDOW bytes that covers it also starts in a document with a smaller id. Every window of 50 bytes
 has an anchor, the K-gram of least hash in it (a minimizer), and equal windows have equal anchors at equal places. So
@@ -7,8 +7,8 @@ has an anchor, the K-gram of least hash in it (a minimizer), and equal windows h
  1. documents send the hashes of their anchors, each once a batch, to buckets by hash; hashes that two documents have go back;
  2. for those anchors alone, documents send the bytes around them (all windows that hold the anchor) to buckets;
  3. in a bucket equal surroundings are one class; where an anchor has several classes, the suffixes that start at each of
-    their windows are sorted: mergesort, all segments in step, where a comparison finds the common extension by binary
-    search over prefix polynomial hashes, and neighbours that agree in 50 bytes are verified byte by byte;
+    their windows are sorted, all segments in step, by their bytes in words of eight; neighbours that agree in all 50 bytes
+    repeat each other;
  4. what is covered goes back to the documents.
 
 Documents stand in packs by hash of id and text; messages are compressed arrays, one row for a bucket or pack, so nothing is
@@ -38,6 +38,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Anchors that a task holds before it sends them, and entries of a bucket that are sorted together.
 HELD, PIECE = 1_500_000, 40_000
+#: Suffixes that are sorted at once.
+SORTED = 500_000
 #: In place of an anchor's hash (48 bits): the document is a copy of one with a smaller id.
 COPY = 2**64 - 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -123,7 +125,7 @@ def by_key(key: np.ndarray):
 
 
 class Suffixes:
-    """Sorts suffixes of a buffer by their first WINDOW bytes within segments."""
+    """Sorts suffixes of a buffer by their first WINDOW bytes within segments; hashes of stretches."""
 
     def __init__(self, data: np.ndarray):
         self.data, self.sums = data, prefix(data)
@@ -132,69 +134,26 @@ class Suffixes:
     def hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (self.sums[at + n] - self.sums[at]) * self.back[at]
 
-    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common extension, up to WINDOW, by binary search over prefix hashes."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), WINDOW, np.int64)
-        equal = self.hash(x, high) == self.hash(y, high)
-        low[equal] = WINDOW
-        high -= 1
-        for _ in range(6):
-            open_ = ~equal & (low < high)
-            if not open_.any():
-                break
-            mid = (low + high + 1) // 2
-            same = self.hash(x, mid) == self.hash(y, mid)
-            low = np.where(open_ & same, mid, low)
-            high = np.where(open_ & ~same, mid - 1, high)
-        return low
-
-    def before(self, x: np.ndarray, y: np.ndarray, ties: np.ndarray) -> np.ndarray:
-        """x < y, or ties where they agree."""
-        n = self.common(x, y)
-        m = np.minimum(n, WINDOW - 1)
-        return np.where(n >= WINDOW, ties, self.data[x + m] < self.data[y + m])
-
-    def sort(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Order of the suffixes `at`: segments stay where they are; start and size tell each element's segment. Bottom-up mergesort: an element's new place is its rank in the run it meets."""
-        order = np.arange(len(at))
-        width, most = 1, int(size.max()) if len(size) else 0
-        while width < most:
-            live = np.nonzero(size > width)[0]
-            t = live - start[live]
-            run = t // width
-            other = run ^ 1
-            low0 = np.minimum(other * width, size[live])
-            high = np.minimum(low0 + width, size[live])
-            low, x = low0.copy(), at[order[live]]
-            right = run & 1 == 1
-            while True:
-                open_ = low < high
-                if not open_.any():
-                    break
-                k = np.nonzero(open_)[0]
-                mid = (low[k] + high[k]) // 2
-                y = at[order[start[live[k]] + mid]]
-                less = self.before(y, x[k], right[k])
-                low[k] = np.where(less, mid + 1, low[k])
-                high[k] = np.where(less, high[k], mid)
-            place = start[live] + (run & ~1) * width + (t - run * width) + (low - low0)
-            new = order.copy()
-            new[place] = order[live]
-            order = new
-            width *= 2
-        return order
-
-    def same(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether WINDOW bytes agree: hashes, then the bytes themselves."""
-        out = self.hash(x, np.full(len(x), WINDOW)) == self.hash(y, np.full(len(y), WINDOW))
-        k = np.nonzero(out)[0]
-        for i in range(0, len(k), 1 << 16):
-            j = k[i : i + (1 << 16)]
-            span = np.arange(WINDOW)
-            ok = (self.data[x[j][:, None] + span] == self.data[y[j][:, None] + span]).all(1)
-            if not ok.all():
-                raise ArithmeticError("two strings share a polynomial hash; choose another BASE")
-        return out
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """The first WINDOW bytes of each suffix as big-endian words, so that words compare as the bytes do."""
+        out = np.zeros((len(at), -(-WINDOW // 8) * 8), np.uint8)
+        out[:, :WINDOW] = self.data[at[:, None] + np.arange(WINDOW)]
+        return out.view(">u8").astype(np.uint64)
+
+    def sort(self, at: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the suffixes `at` within their segments (0, 1, ..., ascending), by their bytes; whether each begins with the WINDOW bytes of the one before it in its segment. Whole segments are sorted together, about SORTED suffixes at a time."""
+        order, same = np.arange(len(at)), np.zeros(len(at), bool)
+        ends = np.cumsum(np.bincount(segment)) if len(at) else np.zeros(0, np.int64)
+        done = 0
+        while done < len(at):
+            stop = int(ends[min(np.searchsorted(ends, done + SORTED), len(ends) - 1)])
+            w, own = self.words(at[done:stop]), segment[done:stop]
+            k = np.lexsort((*w.T[::-1], own))
+            order[done:stop] = done + k
+            w, own = w[k], own[k]
+            same[done + 1 : stop] = (own[1:] == own[:-1]) & (w[1:] == w[:-1]).all(1)
+            done = stop
+        return order, same
 
 
 def classes(key: np.ndarray, context: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,11 +222,9 @@ def covered(key, context, low, high, doc, pos):
         order = order[np.argsort(segment[order], kind="stable")]
         at, kind, offset = at[order], kind[order], offset[order]
         segment = np.unique(segment[order], return_inverse=True)[1].reshape(-1)
-        n = np.bincount(segment)
-        start, size = (np.cumsum(n) - n)[segment], n[segment]
-        order = s.sort(at, start, size)
+        order, same = s.sort(at, segment)
         at, kind, offset = at[order], kind[order], offset[order]
-        run = np.cumsum(np.concatenate([np.zeros(min(len(at), 1), bool), (segment[1:] != segment[:-1]) | ~s.same(at[:-1], at[1:])]))
+        run = np.cumsum(~same) - 1
         hit = first[kind] > least(run, first[kind])[run]
         if hit.any():  # the windows of a class that an earlier document has, for the entries of its first document
             entries = np.nonzero(doc == first[c])[0]
@@ -425,13 +382,15 @@ def removals(docs: DataFrame) -> DataFrame:
             context = context.reshape(-1, SPAN)
             order = np.argsort(h, kind="stable")
             ends = np.concatenate([np.nonzero(np.diff(h[order]))[0] + 1, [len(h)]])  # of anchors, which stay whole
-            done = 0
+            done, found = 0, []
             while done < len(h):
                 stop = int(ends[min(np.searchsorted(ends, done + PIECE), len(ends) - 1)])
                 k, done = order[done:stop], stop
                 e, a, b = covered(h[k], context[k], low[k].astype(np.int64), high[k].astype(np.int64), doc[k], at[k])
-                gone = joined(rid[k][e], a, b)
-                out += [(part, squeeze(*(x[i] for x in gone))) for part, i in by_key(gone[0] % packs)]
+                found.append(joined(rid[k][e], a, b))
+            # a message for a pack, not for a pack and a piece: their number is that of buckets and packs multiplied
+            gone = joined(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            out += [(part, squeeze(*(x[i] for x in gone))) for part, i in by_key(gone[0] % packs)]
         return _table(out, _BACK)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])

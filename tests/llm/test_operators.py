@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,31 @@ def test_suffix_dedup(spark, small, corpus):
         assert got == sorted(brute.removals(rows), key=repr)
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffixes_of_one_anchor_are_sorted_by_their_bytes(monkeypatch, collide):
+    """Many surroundings of one anchor, sorted in several steps; hashes that all collide change nothing."""
+    rng, n, sd = np.random.default_rng(4), 800, suffix_dedup
+    context = rng.integers(97, 100, (n, sd.SPAN)).astype(np.uint8)
+    context[:, 25:60] = context[0, 25:60]
+    context[: n // 2, 18:75] = context[0, 18:75]
+    context[n // 4 : n // 3, 3:62] = context[1, 3:62]
+    doc, pos = rng.permutation(n), np.full(n, 100)
+    monkeypatch.setattr(sd, "SORTED", 700, raising=False)
+    if collide:
+        monkeypatch.setattr(sd.Suffixes, "hash", lambda self, at, n: np.zeros(len(at), np.uint64))
+    e, a, b = sd.covered(np.full(n, 7, np.uint64), context, np.full(n, sd.SIDE), np.full(n, sd.WINDOW), doc, pos)
+    got = np.zeros((n, 200), bool)
+    for i, x, y in zip(e, a, b, strict=True):
+        got[i, x:y] = True
+    first, want = {}, np.zeros((n, 200), bool)
+    for i in np.argsort(doc):
+        for o in range(sd.SIDE + 1):
+            window = (o, context[i, sd.SIDE - o : sd.SIDE - o + sd.WINDOW].tobytes())
+            if first.setdefault(window, i) != i:
+                want[i, 100 - o : 100 - o + sd.WINDOW] = True
+    assert want.any() and (got == want).all()
+
+
 # --- 7 ---
 
 
