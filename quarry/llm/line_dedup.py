@@ -166,6 +166,8 @@ def near_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
     keys = line_keys(line).select("hp", "key", F.min(h).over(same).alias("low"), F.max(h).over(same).alias("high"), F.min(probe).over(same).alias("all_probe"))
     # by the hash without its top bit: should two lines agree in that, they get each other's keys too, which the check refuses
     shared = keys.where("low <> high AND all_probe = 0").groupBy(h.alias("h0")).agg(F.collect_set(F.struct("key", (probe == 1).alias("probes"))).alias("keys"))
+    # a table, so that the shuffle files of all keys go before lines are fetched
+    shared = materialize(shared, "shared-keys")
     shared = firsts.join(shared, firsts["h1"].bitwiseAND(F.lit(REST)) == F.col("h0")).drop("h0")
     of = _at(d, shared, "inner", "keys").select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
     of = of.select("doc_id", "rid", F.explode(F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), p["keys"].alias("keys"), F.get("ls", p["pos"]).alias("line")))).alias("x"))
@@ -195,7 +197,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), *([F.struct(*rest).alias("rest")] if rest else []))
     narrow = d.select("doc_id", "text", "rid")
     firsts = first_lines(narrow)
-    kept = firsts.join(near_lines(narrow, firsts), ["h1", "h2"], "left_anti")
+    # a table, so that the shuffle files of the keys and pairs go before the texts are put together
+    near = materialize(near_lines(narrow, firsts), "near-lines")
+    kept = firsts.join(near, ["h1", "h2"], "left_anti")
     out = _at(d, kept, "left").withColumn("ls", _lines(F.col("text")))
     blank = F.filter(F.transform("ls", lambda x, i: F.when(~_has_word(x), i)), lambda i: i.isNotNull())
     out = out.withColumn("stay", F.array_sort(F.concat(F.coalesce("ps", F.array().cast("array<int>")), blank)))

@@ -396,6 +396,16 @@ def test_line_dedup(spark, small, corpus):
                 assert got[k][0] == want[k, t], k
 
 
+def test_line_dedup_frees_its_steps(spark, monkeypatch):
+    """The keys and the lines found are tables of their own: what was shuffled for one step is gone before the next."""
+    tags, make = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, tag, **options: (tags.append(tag), make(df, tag, **options))[1])
+    line = "the quick brown fox jumps over the lazy dog"
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_table(table(spark, [(1, line), (2, line + "s"), (3, "another line altogether, of its own")])).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+    assert tags == ["lines", "shared-keys", "near-lines"]
+
+
 def test_edit_check(spark):
     rng = random.Random(4)
     pairs = []
