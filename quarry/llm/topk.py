@@ -1,10 +1,13 @@
-"""Exact top-k inner-product search: a ball tree per shard, branch and bound.
+"""Exact top-k inner-product search: a grid of query groups and vector cells, a ball tree per cell, branch and bound.
 
-Vectors are dealt to shards by hash, about SHARD rows each, and queries to blocks of about BLOCK; each shard meets each block
-once. In a shard, a node of the tree bounds the inner product with a query q by q . centre + |q| * radius. A block goes down
-the tree together: at every node the queries whose bound is under their current k-th score leave, each of the others sees the
-child with its own higher bound first, and leaves are multiplied as matrices. The k-th scores stay with the block from shard to
-shard in a task (8 bytes a query), so later shards start with what earlier ones found. Ties go to the smaller vec_id; bounds
+Vectors are dealt to cells by hash and queries to groups, each of at most about VALUES components; every group meets every cell
+once, in a task of its own that holds the two and nothing else. So a query is sent once to each cell and a vector once to each
+group, as rows (two bytes a component where floor(256 * x) fits): 15 million vectors with 64 components make 129 cells
+and 3 groups. Nothing passes the driver but the largest component, and a row for each length of vectors.
+
+In a cell, a node of the tree bounds the inner product with a query q by q . centre + |q| * radius. BLOCK queries go
+down the tree together: at every node the queries whose bound is under their current k-th score leave, each of the others sees the
+child with its own higher bound first, and leaves are multiplied as matrices. Ties go to the smaller vec_id; bounds
 keep equality for that.
 
 Vectors that are null or hold null or non-finite components take no part. A query meets candidates of its own length only.
@@ -15,32 +18,41 @@ searched once. No rows: no rows. Scores are exact integers; where they could pas
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import materialize
+
+#: Components of a cell, and of a group (64 MB as doubles); ROW counts for the rest of a row.
+VALUES, ROW = 1 << 23, 8
+#: A small table is cut into cells of SHARD rows or more, to keep all tasks busy.
 SHARD, BLOCK, LEAF, SCALE = 4096, 2048, 128, 256.0
 K, EVERY = 5, 50
 EXACT = 2.0**53
 
 
 class Ball:
-    """A node: centre, radius and either two children or the places of its points, ascending by id."""
+    """A node: centre, radius and either two children or the places of its points, ascending by id; of equal points only the first `most`."""
 
     __slots__ = ("centre", "radius", "children", "points")
 
-    def __init__(self, x: np.ndarray, points: np.ndarray):
+    def __init__(self, x: np.ndarray, points: np.ndarray, most: int):
         own = x[points]
         self.centre = own.mean(0)
         self.radius = float(np.sqrt(((own - self.centre) ** 2).sum(1)).max())
         self.children, self.points = (), points
-        if len(points) > LEAF and self.radius > 0:
+        if self.radius == 0:
+            self.points = points[:most]
+        elif len(points) > LEAF:
             far = own[np.argmax(((own - self.centre) ** 2).sum(1))]
             along = (own - self.centre) @ (far - self.centre)
             order = np.argsort(along, kind="stable")
             half = len(points) // 2
-            self.children = (Ball(x, np.sort(points[order[:half]])), Ball(x, np.sort(points[order[half:]])))
+            self.children = (Ball(x, np.sort(points[order[:half]]), most), Ball(x, np.sort(points[order[half:]]), most))
 
 
 class Best:
@@ -86,76 +98,79 @@ def descend(node: Ball, x: np.ndarray, ids: np.ndarray, q: np.ndarray, norms: np
     best.merge(rows, np.where(mine, -np.inf, score), ids[node.points])
 
 
-def search_exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
-    """The same without bounds in Python integers, for components so large that doubles would round."""
-    vx = [[int(c) for c in v] for v in x]
-    out_ids, out = [], []
-    for a, v in enumerate(q):
-        w = [int(c) for c in v]
-        top = sorted((-sum(map(int.__mul__, w, c)), int(ids[j])) for j, c in enumerate(vx) if j != own[a])[:k]
-        out_ids.append([i for _, i in top])
-        out.append([max(-(2**63), min(2**63 - 1, -s)) for s, _ in top])
-    return out_ids, out
+def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (-inf: none) and ids of the k best of x, which is ascending by id, for each of q; own holds a query's own place or -1."""
+    tree, norms, best = Ball(x, np.arange(len(ids)), k + 1), np.sqrt((q * q).sum(1)), Best(len(q), k)
+    for at in range(0, len(q), BLOCK):
+        descend(tree, x, ids, q, norms, own, np.arange(at, min(at + BLOCK, len(q))), best)
+    return best.score, best.id
+
+
+def search_exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[list[list[int]], list[list[int]]]:
+    """The same without bounds in Python integers, for components so large that doubles would round; lists end where no candidate is left."""
+    top: list[list[tuple[int, int]]] = [[] for _ in q]
+    for at in range(0, len(x), SHARD):
+        vx = [[int(c) for c in v] for v in x[at : at + SHARD]]
+        for a, v in enumerate(q):
+            w = [int(c) for c in v]
+            top[a] = heapq.nsmallest(k, top[a] + [(-sum(map(int.__mul__, w, c)), int(ids[at + j])) for j, c in enumerate(vx) if at + j != own[a]])
+    return [[max(-(2**63), min(2**63 - 1, -s)) for s, _ in t] for t in top], [[i for _, i in t] for t in top]
+
+
+def vectors_of(e: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """floor(256 * x) of the vectors as doubles; integers are that already."""
+    flat = e.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    x = flat.astype("f8").reshape(len(e), dim)
+    return x if flat.dtype.kind == "i" else np.floor(SCALE * x)
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each row whose id is divisible by `every`, against all rows but itself."""
     e = F.col("e")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(kind).alias("e"))
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    rows = rows.where(F.col("id").isNotNull() & e.isNotNull() & ~bad).groupBy("id", "e").agg(F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("e"))
-    sizes = {r["dim"]: (r["n"], r["m"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("m")).collect()}
-    shards = F.create_map(*[F.lit(v) for d, (n, _) in sizes.items() for v in (d, -(-n // SHARD))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    blocks = F.create_map(*[F.lit(v) for d, (_, m) in sizes.items() for v in (d, max(1, -(-m // BLOCK)))]) if sizes else shards
-    key = F.xxhash64("id", "e")
-    rows = rows.withColumn("shard", F.pmod(key, F.try_element_at(shards, F.col("dim"))))
-    queries = rows.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64(key), F.try_element_at(blocks, F.col("dim"))))
-
-    def packed(table: pa.Table, group: str) -> pa.Table:
-        table = table.sort_by("id")
-        ids, times = table.column("id").to_numpy(), table.column("times").to_numpy()
-        d = table.column("dim")[0].as_py()
-        x = np.floor(SCALE * table.column("e").combine_chunks().flatten().to_numpy()).reshape(len(ids), d) if d else np.zeros((len(ids), 0))
-        if group == "shard":
-            copies = np.minimum(times, k + 1)
-            ids, x, times = np.repeat(ids, copies), np.repeat(x, copies, axis=0), times[:0]
-        return pa.table({"dim": pa.array([d], pa.int32()), group: table.column(group)[:1].cast(pa.int64()), "ids": [ids.astype("<i8").tobytes()], "x": [x.astype("<f8").tobytes()], "times": [times.astype("<i8").tobytes()]})
-
-    right = rows.groupBy("dim", "shard").applyInArrow(lambda t: packed(t, "shard"), "dim int, shard long, ids binary, x binary, times binary")
-    left = queries.groupBy("dim", "block").applyInArrow(lambda t: packed(t, "block"), "dim int, block long, ids binary, x binary, times binary")
-    left = left.select("dim", "block", F.col("ids").alias("q_ids"), F.col("x").alias("q"), "times", F.explode(F.sequence(F.lit(0).cast("long"), F.try_element_at(shards, F.col("dim")).cast("long") - 1)).alias("shard"))
-    met = left.join(right.drop("times"), ["dim", "shard"]).select("dim", "shard", "block", "q_ids", "q", "ids", "x", "times")
-    out = pa.schema([("query_id", pa.int64()), ("block", pa.int64()), ("query", pa.int64()), ("times", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def run(batches):
-        built, kth = (None,), {}
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, shard, block, q_ids, q, ids, x, times = (batch.column(c)[i].as_py() for c in range(8))
-                if built[0] != (dim, shard):
-                    ids = np.frombuffer(ids, "<i8")
-                    x = np.frombuffer(x, "<f8").reshape(len(ids), dim)
-                    built = ((dim, shard), ids, x, Ball(x, np.arange(len(ids))))
-                _, ids, x, tree = built
-                q_ids = np.frombuffer(q_ids, "<i8")
-                q = np.frombuffer(q, "<f8").reshape(len(q_ids), dim)
-                place = {(int(a), v.tobytes()): j for j, (a, v) in enumerate(zip(ids, x, strict=True)) if a % every == 0}
-                own = np.array([place.get((int(a), v.tobytes()), -1) for a, v in zip(q_ids, q, strict=True)])
-                if dim and float(np.abs(q).max()) * float(np.abs(x).max()) * dim >= EXACT:
-                    got, score = search_exact(x, ids, q, own, k)
-                else:
-                    best = Best(len(q_ids), k)
-                    best.kth = kth.get((dim, block), best.kth)
-                    best.score[:] = -np.inf
-                    descend(tree, x, ids, q, np.sqrt((q * q).sum(1)), own, np.arange(len(q_ids)), best)
-                    kth[dim, block] = np.maximum(best.score[:, -1], kth.get((dim, block), best.score[:, -1]))
-                    good = [np.isfinite(s) for s in best.score]
-                    got, score = [r[g].tolist() for r, g in zip(best.id, good, strict=True)], [r[g].astype(np.int64).tolist() for r, g in zip(best.score, good, strict=True)]
-                n = [len(s) for s in score]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.full(sum(n), block)), pa.array(np.repeat(np.arange(len(n)), n)), pa.array(np.repeat(np.frombuffer(times, "<i8"), n)), pa.array([v for r in got for v in r], pa.int64()), pa.array([v for r in score for v in r], pa.int64())], schema=out)
-
-    found = met.mapInArrow(run, "query_id long, block long, query long, times long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "block", "query").orderBy(F.desc("score"), "vec_id")
+    rows = rows.where(F.col("id").isNotNull() & e.isNotNull() & ~bad)
+    most = rows.agg(F.max(F.array_max(F.transform(e, F.abs)))).first()[0] or 0.0
+    if most * SCALE < 2**15 - 1:
+        rows = rows.withColumn("e", F.transform(e, lambda x: F.floor(x.cast("double") * F.lit(SCALE)).cast("short")))
+    # a table: row numbers stay what they are, and it is aggregated once for its three readers
+    rows = materialize(rows.groupBy("id", "e").agg(F.count(F.lit(1)).alias("times")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = rows.withColumn("dim", F.size("e"))
+    parts, size = F.lit(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.col("dim") + ROW
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("m")).where("m > 0")
+    cells = F.greatest(F.ceil(F.col("n") * size / VALUES), F.least(4 * parts, F.ceil(F.col("n") / SHARD))).cast("int")
+    # lengths are few: d of them take d * d / 2 components
+    sizes = F.broadcast(sizes.select("dim", cells.alias("cells"), F.ceil(F.col("m") * size / VALUES).cast("int").alias("groups")))
+    rows, key = rows.join(sizes, "dim"), F.xxhash64("id", "e")
+    cell, group = F.pmod(key, F.col("cells")).cast("int").alias("cell"), F.pmod(F.xxhash64(key), F.col("groups")).cast("int").alias("group")
+    right = rows.select("dim", cell, F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "row", "id", "e", "times")
+    left = rows.where(F.col("id") % every == 0).select("dim", group, F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "row", "id", "e", "times").toDF("q_dim", "q_group", "q_cell", "q", "q_id", "q_e", "q_times")
+    out = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("times", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return out.empty_table()
+        dim, right = left.column("q_dim")[0].as_py(), right.sort_by([("id", "ascending"), ("row", "ascending")])
+        copies = np.minimum(right.column("times").to_numpy(), k + 1)
+        place = dict(zip(right.column("row").to_numpy().tolist(), (np.cumsum(copies) - copies).tolist(), strict=True))
+        own = np.array([place.get(r, -1) for r in left.column("q").to_numpy().tolist()])
+        x, q = vectors_of(right.column("e"), dim), vectors_of(left.column("q_e"), dim)
+        ids = right.column("id").to_numpy()
+        if copies.max() > 1:
+            ids, x = np.repeat(ids, copies), np.repeat(x, copies, axis=0)
+        if dim and max(1.0, float(np.abs(q).max())) * max(1.0, float(np.abs(x).max())) * dim >= EXACT:
+            score, found = search_exact(x, ids, q, own, k)
+            n = [len(s) for s in score]
+            score, found = np.array([v for s in score for v in s], "i8"), np.array([v for f in found for v in f], "i8")
+        else:
+            score, found = search(x, ids, q, own, k)
+            good = np.isfinite(score)
+            n, score, found = good.sum(1), score[good].astype("i8"), found[good]
+        return pa.table([np.repeat(left.column(c).to_numpy(), n) for c in ("q", "q_id", "q_times")] + [found, score], schema=out)
+
+    found = left.groupBy("q_dim", "q_group", "q_cell").cogroup(right.groupBy("dim", "group", "cell")).applyInArrow(meet, "query long, query_id long, times long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
 
 

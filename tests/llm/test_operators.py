@@ -353,6 +353,27 @@ def test_top_k_keeps_repeated_rows(spark):
     assert sorted(got) == sorted(brute.top_k(rows))
 
 
+def test_top_k_ids_repeat_across_lengths(spark):
+    """The same id with vectors of two lengths: two queries, each with its own list."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(d)]) for d in (2, 3) for i in range(60)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert sorted(got) == sorted(r for d in (2, 3) for r in brute.top_k([v for v in rows if len(v[1]) == d]))
+
+
+def test_top_k_sends_groups_and_cells_of_bounded_size(spark, monkeypatch):
+    """No blocks packed into single rows meet, and the grid's tasks give the whole result."""
+    monkeypatch.setattr(topk, "VALUES", 1 << 9)  # many cells and groups
+    rng = random.Random(12)
+    rows = [(i, [rng.choice((rng.uniform(-1, 1), 0.5)) for _ in range(4)]) for i in range(3000)] + [(5000 + i, [0.25] * 4) for i in range(700)]
+    for factor in (1.0, 1000.0):  # components of two bytes, and of eight
+        some = [(i, [factor * c for c in v]) for i, v in rows]
+        df = topk.top_k(spark.createDataFrame(some, "vec_id long, embedding array<float>").repartition(3))
+        some = [(i, np.array(v, "f4").tolist()) for i, v in some]
+        assert sorted(tuple(r) for r in df.collect()) == sorted(brute.top_k(some))
+        assert "binary" not in df._jdf.queryExecution().analyzed().toString()
+
+
 # --- 10 ---
 
 
