@@ -121,10 +121,13 @@ def _ids(line: Column) -> list[Column]:
 
 
 def first_lines(d: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, rid, pos of the first occurrence of each different line. d has doc_id, text and rid."""
+    """h1, h2, doc_id, rid, pos and line of the first occurrence of each different line. d has doc_id, text and rid.
+
+    The lines stand in the table, so that their keys are made without dealing out the texts beside them.
+    """
     rows = d.select("doc_id", "rid", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).where(_has_word(F.col("line")))
-    found = rows.select("doc_id", "rid", "pos", *_ids(F.col("line"))).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("o"))
-    return materialize(found.select("h1", "h2", "o.*"), "lines")
+    found = rows.select("doc_id", "rid", "pos", "line", *_ids(F.col("line"))).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "rid", "pos", "line")).alias("o"))
+    return materialize(found.select("h1", "h2", "o.*"), "lines", compression="zstd")
 
 
 def _at(d: DataFrame, lines: DataFrame, how: str = "inner", *more: str) -> DataFrame:
@@ -152,23 +155,21 @@ def _chars(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0))
 
 
-def near_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
-    """h1, h2 of the lines that stand later than another line within the allowed edits.
+def kept_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
+    """doc_id, rid, pos of the first lines that don't stand later than another line within the allowed edits.
 
     Keys of one line only go at once. Lines that are left are fetched and compared under their shared keys; the parities keep
     what can't be within the edits from leaving that join, so a key with many unlike lines sends out few pairs. A key of more
     than HOT lines is split by blocks of the parities, one of which is equal in any pair within the edits.
     """
-    taken = _at(d, firsts).select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
-    line = taken.select(F.explode(F.transform("ps", lambda p: F.get("ls", p))).alias("line"))
-    line = line.select(F.xxhash64("line").alias("h"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("b")).where(F.col("n") >= ONE)
+    line = firsts.select(F.col("h1").alias("h"), F.length("line").alias("n"), F.encode("line", "UTF-32").alias("b")).where(F.col("n") >= ONE)
     same, h, probe = Window.partitionBy("key"), F.col("hp").bitwiseAND(F.lit(REST)), (F.col("hp") < 0).cast("int")
     keys = line_keys(line).select("hp", "key", F.min(h).over(same).alias("low"), F.max(h).over(same).alias("high"), F.min(probe).over(same).alias("all_probe"))
     # by the hash without its top bit: should two lines agree in that, they get each other's keys too, which the check refuses
     shared = keys.where("low <> high AND all_probe = 0").groupBy(h.alias("h0")).agg(F.collect_set(F.struct("key", (probe == 1).alias("probes"))).alias("keys"))
     # a table, so that the shuffle files of all keys go before lines are fetched
-    shared = materialize(shared, "shared-keys")
-    shared = firsts.join(shared, firsts["h1"].bitwiseAND(F.lit(REST)) == F.col("h0")).drop("h0")
+    known = materialize(shared, "shared-keys")
+    shared = firsts.drop("line").join(known, firsts["h1"].bitwiseAND(F.lit(REST)) == F.col("h0")).drop("h0")
     of = _at(d, shared, "inner", "keys").select("doc_id", "rid", "ps", _lines(F.col("text")).alias("ls"))
     of = of.select("doc_id", "rid", F.explode(F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), p["keys"].alias("keys"), F.get("ls", p["pos"]).alias("line")))).alias("x"))
     of = of.select(F.struct(F.struct("doc_id", "rid", "x.pos").alias("o"), *_ids(F.col("x.line"))).alias("at"), F.col("x.line").alias("line"), "x.keys", _chars(F.col("x.line")).alias("c"))
@@ -188,7 +189,11 @@ def near_lines(d: DataFrame, firsts: DataFrame) -> DataFrame:
     # a column that differs from run to run keeps the check out of the join, and the characters out of the check's lambdas
     met = met.select("x", "y", _chars(F.col("lx")).alias("ca"), _chars(F.col("ly")).alias("cb"), F.monotonically_increasing_id().alias("fence"))
     pairs = met.where(within(F.col("ca"), F.col("cb"), allowed(F.least(F.size("ca"), F.size("cb")))) & (F.col("fence") >= 0))
-    return pairs.select(F.greatest("x", "y").alias("z")).select("z.h1", "z.h2").distinct()
+    near = pairs.select(F.greatest("x", "y").alias("z")).select("z.h1", "z.h2").distinct()
+    # a table, so that the shuffle files of the pairs, the keys and the lines go before the texts are put together
+    kept = materialize(firsts.drop("line").join(near, ["h1", "h2"], "left_anti").select("doc_id", "rid", "pos"), "near-lines")
+    discard(known)
+    return kept
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,9 +202,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"), *([F.struct(*rest).alias("rest")] if rest else []))
     narrow = d.select("doc_id", "text", "rid")
     firsts = first_lines(narrow)
-    # a table, so that the shuffle files of the keys and pairs go before the texts are put together
-    near = materialize(near_lines(narrow, firsts), "near-lines")
-    kept = firsts.join(near, ["h1", "h2"], "left_anti")
+    kept = kept_lines(narrow, firsts)
+    discard(firsts)
     out = _at(d, kept, "left").withColumn("ls", _lines(F.col("text")))
     blank = F.filter(F.transform("ls", lambda x, i: F.when(~_has_word(x), i)), lambda i: i.isNotNull())
     out = out.withColumn("stay", F.array_sort(F.concat(F.coalesce("ps", F.array().cast("array<int>")), blank)))

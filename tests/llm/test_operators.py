@@ -427,6 +427,19 @@ def test_line_dedup_frees_its_steps(spark, monkeypatch):
     assert tags == ["lines", "shared-keys", "near-lines"]
 
 
+def test_line_dedup_makes_keys_without_the_texts(spark, monkeypatch):
+    """The table of first lines holds the lines: keys are made without the texts dealt out beside them, and it goes before the texts are put together."""
+    read, make = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, tag, **options: (read.update({tag: set(df.inputFiles())}), make(df, tag, **options))[1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = line_dedup.line_table(docs)
+    assert any("documents.parquet" in f for f in read["lines"])
+    assert read["shared-keys"] and not any("documents.parquet" in f for f in read["shared-keys"])
+    tables = {f.rsplit("/", 2)[-2] for f in out.inputFiles()}
+    assert not any(x.startswith(("quarry-lines", "quarry-shared-keys")) for x in tables)
+    assert out.count() == docs.count()
+
+
 def test_edit_check(spark):
     rng = random.Random(4)
     pairs = []
