@@ -90,7 +90,8 @@ class LibraryEncoder:
     """ids of texts as the tokenizers library has them.
 
     The library encodes the chunks of the texts (a word with the space before it, or white space), which no pre-token crosses,
-    all those that aren't in the bounded table in one call. So a word costs the library's time once, and no text is too long.
+    all those that aren't in the bounded tables in one call. So a word costs the library's time once while it recurs, and no text
+    is too long. A full table becomes the old one, from which words come back when they are met; the old one before it goes.
     """
 
     def __init__(self, path: str):
@@ -103,6 +104,7 @@ class LibraryEncoder:
         special = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         if self.special is None:
@@ -112,15 +114,21 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.cut(t) for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
+        new = []
+        for c in set().union(*cut) - self.known.keys():
+            ids = self.old.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                self.known[c] = ids
         found = self.library.encode_batch_fast(new, add_special_tokens=False)
         self.known.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32) for chunks in cut]
-        if len(self.known) > KEPT:
-            self.known.clear()
         for c in new:
             if len(c) > KEPT_LENGTH:
-                self.known.pop(c, None)
+                del self.known[c]
+        if len(self.known) > KEPT:
+            self.old, self.known = self.known, {}
         return out
 
 

@@ -242,6 +242,27 @@ def test_suffixes_of_one_anchor_are_sorted_by_their_bytes(monkeypatch, collide):
     assert want.any() and (got == want).all()
 
 
+def test_library_encoder_keeps_words_that_recur(monkeypatch):
+    """Words in every call cost the library's time once, however often the table fills with others; long chunks aren't kept."""
+    monkeypatch.setattr(token_files, "KEPT", 20)
+    coder, asked = token_files.LibraryEncoder(BYTE_BPE), []
+    library = coder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    coder.library = Counted()
+    for i in range(12):
+        texts = [f"the river and the harbor {' '.join(f'w{i}x{j}' for j in range(10))} {'y' * 100}{i}", ""]
+        got = coder.encode(texts)
+        assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(coder.known) <= 40 and len(coder.old) <= 40
+    assert asked.count(" river") == 1 and asked.count("the") == 1
+    assert not any(len(c) > 64 for c in [*coder.known, *coder.old])
+
+
 # --- 7 ---
 
 
