@@ -69,6 +69,35 @@ def test_parities_tell_large_sets_apart():
     assert near_text.differing(near_text.parity(sets[3]), near_text.parity(sets[3])) == 0
 
 
+def test_texts_are_dealt_out_only_where_ids_may_match(spark, monkeypatch):
+    """Copies, candidates and what goes are few here, so the stage shuffles less than the texts hold, without any join broadcast for its size."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.getrandbits(48):x}" for _ in range(4000))) for k in range(120)]
+    rows += [(200, rows[3][1]), (201, rows[5][1] + " end"), (202, "a text of its own"), (None, rows[7][1])]
+    path = materialize(table(spark, rows), "test")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, *(getattr(store, f"stageList$default${i}")() for i in range(2, 6)))
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    before = written()
+    monkeypatch.setattr(near_text, "SAMPLE", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for classes in (near_text.CLASSES, 64):  # where the filter is full, the joins behind it still decide
+            monkeypatch.setattr(near_text, "CLASSES", classes)
+            got = sorted((r["doc_id"] is not None, r["doc_id"]) for r in near_text.keep_first(path).select("doc_id", "text").collect())
+            assert got == [(False, None), *((True, k) for k in [*range(120), 202])]
+            if classes > 64:
+                shuffled = sum(v for k, v in written().items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled < sum(len(t) for _, t in rows), shuffled
+    discard(path)
+
+
 def test_tables_leave_no_shuffle_files(spark):
     top = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
 
