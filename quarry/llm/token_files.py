@@ -91,7 +91,9 @@ class LibraryEncoder:
 
     The library encodes the chunks of the texts (a word with the space before it, or white space), which no pre-token crosses,
     all those that aren't in the bounded tables in one call. So a word costs the library's time once while it recurs, and no text
-    is too long. A full table becomes the old one, from which words come back when they are met; the old one before it goes.
+    is too long. A full table becomes the old one, from which words come back when they are met, then to stay in the tables that
+    follow: words met once make room, not those that recur. When more than KEPT stay, they are all that is old. Both tables
+    together hold about twice KEPT.
     """
 
     def __init__(self, path: str):
@@ -105,6 +107,7 @@ class LibraryEncoder:
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.stay: set[str] = set()
 
     def cut(self, text: str) -> list[str]:
         if self.special is None:
@@ -116,19 +119,23 @@ class LibraryEncoder:
         cut = [self.cut(t) for t in texts]
         new = []
         for c in set().union(*cut) - self.known.keys():
-            ids = self.old.get(c)
+            ids = self.old.pop(c, None)
             if ids is None:
                 new.append(c)
             else:
                 self.known[c] = ids
+                self.stay.add(c)
         found = self.library.encode_batch_fast(new, add_special_tokens=False)
         self.known.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint32) for chunks in cut]
         for c in new:
             if len(c) > KEPT_LENGTH:
                 del self.known[c]
-        if len(self.known) > KEPT:
-            self.old, self.known = self.known, {}
+        if len(self.stay) > KEPT:
+            self.old, self.known, self.stay = {c: self.known[c] for c in self.stay}, {}, set()
+        elif 2 * len(self.known) - len(self.stay) > 2 * KEPT:
+            known, self.known = self.known, {c: self.known[c] for c in self.stay}
+            self.old = {c: ids for c, ids in known.items() if c not in self.stay}
         return out
 
 
