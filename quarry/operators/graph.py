@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.storage import discard, materialize
 
 
-def resolve_calls(calls: DataFrame, definitions: DataFrame) -> DataFrame:
-    """src, dst: every call (src, name) to every definition (node, name) of that name, without self-links."""
-    hit = calls.join(definitions.select(F.col("node").alias("dst"), "name"), "name")
-    return hit.where("src <> dst").select("src", "dst").distinct()
+#: Calls and definitions of one name meet in cells of about this many by as many.
+CELL = 4096
+
+
+def resolve_calls(calls: DataFrame, definitions: DataFrame, cell: int = CELL) -> DataFrame:
+    """src, dst: every call (src, name) to every definition (node, name) of that name, without self-links.
+
+    There can be very many pairs, so they aren't shuffled: both sides are distinct before they meet, and only pairs with nodes of several
+    names, which can share more than one with a caller, are made distinct after. A name's pairs are dealt out as a grid of cells.
+    """
+    calls = calls.select("src", "name").where("src IS NOT NULL AND name IS NOT NULL").distinct()
+    named = definitions.select(F.col("node").alias("dst"), "name").where("dst IS NOT NULL AND name IS NOT NULL").repartition("dst").distinct()
+    named = named.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("dst")) > 1)
+    sizes = [df.groupBy("name").agg(F.count(F.lit(1)).alias(n)) for df, n in ((calls, "m"), (named, "n"))]
+    large = sizes[0].join(sizes[1], "name").where((F.col("m") > cell) | (F.col("n") > cell))
+    large = F.broadcast(large.select("name", F.ceil(F.col("m") / cell).alias("rows"), F.ceil(F.col("n") / cell).alias("columns")))
+    tasks = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, or few tasks would make all pairs of a small table
+
+    def dealt(df: DataFrame, node: str, own: str, other: str) -> DataFrame:
+        of = lambda n: F.coalesce(F.col(n), F.lit(1))
+        df = df.join(large, "name", "left").withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), of(other) - 1)))
+        return df.withColumn(own, F.pmod(F.xxhash64(node), of(own))).repartition(tasks, "name", "rows", "columns")
+
+    calls, named = dealt(calls, "src", "rows", "columns"), dealt(named, "dst", "columns", "rows")
+    once, more = (calls.join(named.where(x).hint("merge"), ["name", "rows", "columns"]).where("src <> dst").select("src", "dst") for x in ("NOT several", "several"))
+    return once.unionByName(more.distinct())
 
 
 def stub_nodes(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:

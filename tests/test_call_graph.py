@@ -7,7 +7,9 @@ from itertools import pairwise
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.operators import graph
 from quarry.plans import catalog
 from tests.conftest import SF
 
@@ -84,6 +86,33 @@ def test_call_edges_are_whole(spark, parts):
     assert set(run(spark, "call_edges")) == {(a, b) for same in by_name.values() for a in same for b in same if a != b}
 
 
+def shuffled(spark):
+    """Rows written to shuffle files by the stages so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_pairs_of_one_name_are_not_shuffled(spark):
+    nodes = spark.createDataFrame([(i, "close" if i < 600 else f"f{i}") for i in range(700)], "node long, name string")
+    before = shuffled(spark)
+    hit = graph.resolve_calls(nodes.withColumnRenamed("node", "src"), nodes).agg(F.count(F.lit(1)), F.countDistinct("src"), F.min(F.abs(F.col("src") - F.col("dst")))).first()
+    assert tuple(hit) == (600 * 599, 600, 1)
+    written = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert written < 20_000, written  # of 359,400 pairs
+
+
+@pytest.mark.parametrize("cell", [1, 3, 10, graph.CELL])
+def test_cells_hold_every_pair_once(spark, cell):
+    """Repeated rows, nodes and callers of several names, a name with many of one side only, and nulls."""
+    defs = [(i, "get") for i in range(25)] + [(i, "set") for i in range(20, 30)] + [(3, "get"), (7, "run"), (8, "run"), (None, "get"), (9, None), (40, "unused")]
+    calls = [(i, n) for i in range(12) for n in ("get", "set")] + [(i, "run") for i in range(60)] + [(1, "get"), (2, "run"), (None, "get"), (5, None), (5, "missing")]
+    got = graph.resolve_calls(spark.createDataFrame(calls, "src long, name string"), spark.createDataFrame(defs, "node long, name string"), cell).collect()
+    want = {(a, b) for a, n in calls for b, m in defs if None not in (a, b, n, m) and n == m and a != b}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_stub_nodes_are_the_parts_without_a_vector(spark, tmp_path):
     lines = [(1, part, 1, n, 1.0, 1.0) for n, part in enumerate([3, 6, 7, 3, 9, 9], 1)] + [(2, 12, 1, 1, 50.0, 1.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
