@@ -101,14 +101,23 @@ def route(question: Column) -> Column:
     )
 
 
+def _last_beside(words: Column, left_out: Column) -> Column:
+    """The last word that, in small letters, isn't left out; null if there is none. In proportion to both arrays: no array is made or searched again for each word."""
+    back = F.reverse(words)
+    small = F.transform(back, F.lower)
+    return F.get(back, F.array_position(small, F.get(F.array_except(small, left_out), F.lit(0))).cast("int") - 1)
+
+
 def target(question: Column) -> Column:
     """The code name a question is about: the last name(), else the last 'name function|method|class', else the last code-like word, else the last word that is no stop word, file-name stem or shorter than three letters, else the question."""
-    last = lambda a: F.when(F.size(a) > 0, F.element_at(a, -1))
+    last = lambda a: F.try_element_at(a, F.lit(-1))
     found = lambda pattern: F.regexp_extract_all(question, F.lit("(?U)" + pattern), F.lit(1))
     stems = F.transform(found(rf"\b({_NAME})\.[a-z]{{1,4}}\b"), F.lower)
-    tokens = F.filter(found(rf"\b({_NAME})\b"), lambda t: (F.length(t) > 2) & ~F.lower(t).isin(*STOPWORDS) & ~F.array_contains(stems, F.lower(t)))
-    codelike = F.filter(tokens, lambda t: t.contains("_") | (t.rlike("^[A-Z]") & (F.upper(t) != t)))
-    return F.coalesce(last(found(rf"\b({_NAME})\s*\(\)")), last(found(rf"\b({_NAME})\s+(?:function|method|class)\b")), last(codelike), last(tokens), question)
+    tokens = F.filter(found(rf"\b({_NAME})\b"), lambda t: (F.length(t) > 2) & ~F.lower(t).isin(*STOPWORDS))
+    codelike = lambda words: F.filter(words, lambda t: t.contains("_") | (t.rlike("^[A-Z]") & (F.upper(t) != t)))
+    # a lambda's variable holds both arrays, so each is made once; named inside another lambda they would be made for each word
+    words = F.transform(F.array(F.struct(tokens.alias("tokens"), stems.alias("stems"))), lambda w: F.coalesce(_last_beside(codelike(w["tokens"]), w["stems"]), _last_beside(w["tokens"], w["stems"])))
+    return F.coalesce(last(found(rf"\b({_NAME})\s*\(\)")), last(found(rf"\b({_NAME})\s+(?:function|method|class)\b")), F.get(words, F.lit(0)), question)
 
 
 def band(similarity: Column, high: float = 0.8, medium: float = 0.65) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +61,30 @@ def test_targets_and_routes(spark):
     assert dict(zip(cases, got, strict=True)) == cases
 
 
+def plain_target(text):
+    names = re.findall(r"\b([A-Za-z_][A-Za-z0-9_]*)\b", text)
+    stems = {x.lower() for x in re.findall(r"\b([A-Za-z_][A-Za-z0-9_]*)\.[a-z]{1,4}\b", text)}
+    words = [x for x in names if len(x) > 2 and x.lower() not in tx.STOPWORDS and x.lower() not in stems]
+    for found in (re.findall(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(\)", text), re.findall(r"\b([A-Za-z_][A-Za-z0-9_]*)\s+(?:function|method|class)\b", text), [x for x in words if "_" in x or (x[0].isupper() and x.upper() != x)], words):
+        if found:
+            return found[-1]
+    return text
+
+
+def test_targets_against_plain_python(spark):
+    draw = random.Random(7)
+    parts = ["Cache", "cache", "cache.py", "CACHE.go", "load_x", "load_x.ts", "Load_X", "the", "What", "function", "run", "run()", "run ()", "ab", "HTTP", "Http.java", "Http", "9lives", "é_x", "."]
+    texts = [" ".join(draw.choices(parts[: draw.randint(2, len(parts))], k=draw.randint(0, 8))) for _ in range(400)] + [None]
+    assert [g for (g,) in of(spark, texts, tx.target)] == [t if t is None else plain_target(t) for t in texts]
+
+
+def test_target_of_a_long_text_takes_no_longer_than_its_words(spark):
+    text = " ".join(f"Word{i} w{i} lib{i}.py" for i in range(8000)) + " lib1"
+    began = time.monotonic()
+    assert of(spark, [text], tx.target) == [("Word7999",)]
+    assert time.monotonic() - began < 30  # the words' regular expressions run once a text, not once a word
+
+
 def test_excluded(spark):
     got = of(spark, ["a/migrations/x.py", "a/.venv/x.py", "a/x.d.ts", "a/x.min.js", "src/builds/x.py", "htmlcov", "x.ts"], tx.excluded_path)
     assert [g[0] for g in got] == [True, True, True, True, False, True, False]
